@@ -2,23 +2,73 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strata.llm import simhash
+from strata.llm import mpegts, packing, sharding, simhash, warc
+
+SHARDS, SHARD_SEED = 24, 20240607
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(read(spark, sf_dir, "pages"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    placed = sharding.place(sharding.shuffled(docs, ["doc_id", "text"], size, SHARD_SEED), SHARDS)
+    return placed.select(
+        "doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    stored = mpegts.load(mpegts.store(read(spark, sf_dir, "documents")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, n, payload, packets, gaps, times, random, size, sha = b.columns
+            held = [x.as_buffer().to_pybytes() for x in payload]
+            said = [f"packets={p} gaps={g} units={len(t)} last={t[-1]} random={','.join(map(str, r))}" for p, g, t, r in zip(packets.to_pylist(), gaps.to_pylist(), times.to_pylist(), random.to_pylist(), strict=True)]
+            own = [pa.array([len(x) for x in held], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in held], pa.string()), pa.array([mpegts.tail_crc(x) for x in held], pa.int64())]
+            yield pa.RecordBatch.from_arrays([doc, n, *own, size, sha, pa.array(said, pa.string())], names)
+
+    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_simhash": op10_simhash}
+    return {
+        "op2_warc": op2_warc,
+        "op3_sharding": op3_sharding,
+        "op7_media": op7_media,
+        "op9_packing": op9_packing,
+        "op10_simhash": op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
