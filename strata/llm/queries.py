@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import mpegts, packing, sharding, simhash, warc
+from strata.llm import mpegts, packing, sharding, simhash, substrings, warc
 
 SHARDS, SHARD_SEED = 24, 20240607
 
@@ -38,6 +38,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     stored = mpegts.load(mpegts.store(read(spark, sf_dir, "documents")))
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_warc": op2_warc,
         "op3_sharding": op3_sharding,
+        "op4_substrings": op4_substrings,
         "op7_media": op7_media,
         "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,
