@@ -1,7 +1,7 @@
 """Toxicity scores from a counterfactually regularised classifier.
 
-A logistic regression on the presence of hashed byte grams of the lower-cased
-text. Besides the log loss it pays for every labelled sentence that mentions a
+A logistic regression on the presence and density of hashed byte grams of the
+lower-cased text. Besides the log loss it pays for every labelled sentence that mentions a
 group: the sentence is written again with another identity term, and the square
 of the change of its logit is penalised. A term that merely goes along with
 toxic examples then carries little weight, so neutral mentions aren't flagged.
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from strata.llm import words as W
 from strata.llm.runtime import plain, prepare, table
 
-SAMPLE, FEATURES, BITS, SIZES = 20_000, 4096, 20, (4, 6, 8)
+SAMPLE, FEATURES, BITS, SIZES, DENSITY = 20_000, 2048, 20, (4, 6, 7), (1500, 700, 350)
+SPACE_SIZE = (1 + len(DENSITY)) << BITS
 THRESHOLD, RIDGE, FAIR, ROUNDS, LEAST = 0.3, 1e-3, 1.0, 200, 6
 #: Terms of one row stand in for each other.
 IDENTITY: tuple[tuple[str, ...], ...] = (
@@ -76,22 +77,32 @@ def _buckets(b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _present(texts: pa.Array, column: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) pairs, each once. column: bucket to feature or -1; else the bucket is the feature."""
+    """(text, feature) pairs, each once, by text. column: what each feature is in a model, or -1; else all features as they are.
+
+    Feature bucket + level * 2**BITS says that the bucket's grams come at least
+    once (level 0), or at least once in DENSITY[level - 1] bytes of the text.
+    """
     b, offs = _lowered(texts)
+    wanted = None if column is None else (column.reshape(-1, 1 << BITS) >= 0).any(axis=0)
     keys = [np.zeros(0, np.int64)]
     for n, bucket in _buckets(b):
-        if column is None:
-            at = np.arange(len(bucket))
-            f = bucket
-        else:
-            f = column[bucket]
-            at = np.flatnonzero(f >= 0)
-            f = f[at]
+        at = np.arange(len(bucket)) if wanted is None else np.flatnonzero(wanted[bucket])
         doc = np.searchsorted(offs, at, "right") - 1
         inside = at + n <= offs[doc + 1]
-        keys.append(np.unique(doc[inside].astype(np.int64) << BITS | f[inside]))
-    k = np.unique(np.concatenate(keys))
-    return k >> BITS, k & (1 << BITS) - 1
+        keys.append(doc[inside].astype(np.int64) << BITS | bucket[at[inside]])
+    k, times = np.unique(np.concatenate(keys), return_counts=True)
+    doc, f = k >> BITS, k & (1 << BITS) - 1
+    size = np.diff(offs)[doc]
+    level = [(doc, f)]
+    for i, d in enumerate(DENSITY, 1):
+        dense = times * d >= size
+        level.append((doc[dense], f[dense] + (i << BITS)))
+    doc, f = (np.concatenate(c) for c in zip(*level, strict=True))
+    if column is not None:
+        f = column[f]
+        doc, f = doc[f >= 0], f[f >= 0]
+    order = np.argsort(doc, kind="stable")
+    return doc[order], f[order].astype(np.int64)
 
 
 @dataclass
@@ -101,7 +112,7 @@ class Model:
     bias: float
 
     def column(self) -> np.ndarray:
-        c = np.full(1 << BITS, -1, np.int32)
+        c = np.full(SPACE_SIZE, -1, np.int32)
         c[self.buckets] = np.arange(len(self.buckets))
         return c
 
@@ -159,14 +170,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float =
     rows = table(text.join(F.broadcast(own), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, 1 << BITS), np.int64)
+        n = np.zeros((2, SPACE_SIZE), np.int64)
         for b in batches:
             y = b.column(1).to_numpy()
-            for i, part in W.chunked(b.column(0), 500_000):
+            for i, part in W.chunked(b.column(0), 1_000_000):
                 doc, f = _present(part)
                 hit = y[i : i + len(part)][doc] > 0
-                n[0] += np.bincount(f[~hit], minlength=1 << BITS)
-                n[1] += np.bincount(f[hit], minlength=1 << BITS)
+                n[0] += np.bincount(f[~hit], minlength=SPACE_SIZE)
+                n[1] += np.bincount(f[hit], minlength=SPACE_SIZE)
         at = np.flatnonzero(n.sum(axis=0))
         for i in range(0, len(at), 50_000):
             a = at[i : i + 50_000]
