@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import mpegts, packing, sharding, simhash, substrings, toxicity, warc
+from strata.llm import decontaminate, mpegts, packing, sharding, simhash, substrings, toxicity, warc
 
 SHARDS, SHARD_SEED = 24, 20240607
 
@@ -64,6 +64,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_substrings": op4_substrings,
         "op7_media": op7_media,
+        "op8_decontaminate": op8_decontaminate,
         "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,
     }
