@@ -37,11 +37,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
-    placed = sharding.place(sharding.shuffled(docs, ["doc_id", "text"], size, SHARD_SEED), SHARDS)
-    return placed.select(
-        "doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"),
-        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
-    )
+    stored = sharding.shuffled(docs, ["doc_id", "text"], size, SHARD_SEED)
+    digests = stored.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"), "_bucket", "_place")
+    placed = sharding.place(digests, SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
