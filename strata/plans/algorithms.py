@@ -232,6 +232,8 @@ def page_rank(graph: Graph, seeds: DataFrame, type: str, iterations: int = 10, d
         return spark.createDataFrame(pa.table({"id": pa.array(ids.tolist(), pa.string()), "rank": pa.array(rank)}))
     seeds = settled(seeds, "seeds")
     n = seeds.count()
+    if not n:
+        return spark.createDataFrame([], "id string, rank double")
     out = e.groupBy("source_id").agg(F.count("*").alias("_out"))
     e = settled(e.join(out, "source_id").select(F.col("source_id").alias("id"), "target_id", "_out"), "edges")
     rank = seeds.select("id", F.lit(1.0 / n).alias("rank"))
