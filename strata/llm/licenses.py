@@ -42,7 +42,7 @@ def _held(df: DataFrame, name: str, made: Column) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.trim(F.translate(F.lower(F.coalesce(text, F.lit(""))), _SIGNS, " " * len(_SIGNS))), r"[ \t-\r]+")
+    return F.split(F.btrim(F.translate(F.lower(F.coalesce(text, F.lit(""))), _SIGNS, " " * len(_SIGNS)), F.lit(" \t\n\v\f\r")), r"[ \t-\r]+")
 
 
 def _shingles(words: Column) -> Column:

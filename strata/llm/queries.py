@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, decontaminate, licenses, mpegts, packing, sharding, simhash, substrings, toxicity, warc
+from strata.llm import chat, decontaminate, licenses, mpegts, packing, sharding, simhash, sql, substrings, toxicity, warc
 
 SHARDS, SHARD_SEED = 24, 20240607
 
@@ -31,7 +31,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.captures(read(spark, sf_dir, "pages"))
+    merged = warc.captures(read(spark, sf_dir, "pages"))  # in global order; which archive holds a page follows the input's splits
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "date")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,4 +121,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
