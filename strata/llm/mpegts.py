@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strata.llm import words as W
-from strata.llm.runtime import plain, prepare
+from strata.llm.runtime import lean, plain, prepare
 
 PMT_PID, ES_PID, PRIVATE = 0x1000, 0x0100, 0x06
 UNIT, RANDOM_EVERY, TICK, ALIGN = 192 * 85, 8, 3600, 192
@@ -186,7 +186,7 @@ def store(docs: DataFrame) -> DataFrame:
                 texts = [(x or "").encode() for x in part.to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), pa.array([len(x) for x in texts], pa.int64()), pa.array([mux(padded(x)) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return plain(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return plain(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 READ = "doc_id long, n_bytes long, payload binary, packets long, discontinuities long, timestamps array<long>, random_access array<long>, media_bytes long, media_sha256 string"
@@ -206,7 +206,7 @@ def load(media: DataFrame) -> DataFrame:
             kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "n_bytes", "payload", "packets", "discontinuities", "timestamps", "random_access", "media_bytes", "media_sha256"])
 
-    return media.mapInArrow(run, READ)
+    return media.mapInArrow(lean(run), READ)
 
 
 def tail_crc(payload: bytes) -> int:

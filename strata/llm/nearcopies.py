@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from strata.llm import simhash
 from strata.llm import words as W
 from strata.llm.components import components
-from strata.llm.runtime import parts, plain, prepare, table
+from strata.llm.runtime import lean, parts, plain, prepare, table
 
 SHINGLE, SIMILARITY, VIEWS, SKETCH, RUN, ROUNDS = 5, 0.8, 8, 64, 16, 3
 _MARGIN = 0.25  # over 4 standard errors of a sketch
@@ -49,7 +49,7 @@ def _prints(docs: DataFrame, views: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, part in W.chunked(b.column(1), 1_000_000):
+            for i, part in W.chunked(b.column(1)):
                 w = W.of(part, fold=True)
                 doc, own = w.doc(), W.span_hash(w.buf, w.start, w.end)
                 order = np.lexsort((own, doc))
@@ -62,7 +62,7 @@ def _prints(docs: DataFrame, views: int) -> DataFrame:
                 sums = [hashlib.sha1((x or "").encode()).digest() for x in part.to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), pa.array(sums, pa.binary()), pa.array(fp.tolist(), pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "digest", "fps", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, fps array<long>, sketch array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, digest binary, fps array<long>, sketch array<long>")
 
 
 def _near(fp: np.ndarray, ident: np.ndarray, every: bool) -> tuple[np.ndarray, bool]:
@@ -126,8 +126,8 @@ def _candidates(texts: DataFrame, every: bool) -> DataFrame:
         if held:
             yield flush(*[np.concatenate(c) for c in zip(*held, strict=True)])
 
-    keys = texts.select("id", "fps").mapInArrow(file, "key long, fp long, id long")
-    return keys.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(meet, "a long, b long").distinct()
+    keys = texts.select("id", "fps").mapInArrow(lean(file), "key long, fp long, id long")
+    return keys.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(lean(meet), "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
@@ -154,9 +154,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, bodies: DataFrame, similarity: f
             yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
 
     some = pairs.join(side(texts, "sketch", "a"), "a").join(side(texts, "sketch", "b"), "b").select("a", "b", "a_sketch", "b_sketch")
-    some = table(some.mapInArrow(likely, "a long, b long"), "likely")
+    some = table(some.mapInArrow(lean(likely), "a long, b long"), "likely")
     full = some.join(side(bodies, "text", "a"), "a").join(side(bodies, "text", "b"), "b").select("a", "b", "a_text", "b_text")
-    return table(full.mapInArrow(exact, "a long, b long"), "copies")
+    return table(full.mapInArrow(lean(exact), "a long, b long"), "copies")
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY, views: int = VIEWS) -> DataFrame:

@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm import words as W
-from strata.llm.runtime import plain, prepare, table
+from strata.llm.runtime import lean, plain, prepare, table
 
 CAPACITY, END = 4096, 1
-CACHE_PIECES = 4_000_000
+CACHE_PIECES, LEARN = 1_000_000, 4096
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -77,15 +77,17 @@ class Encoder:
         return at, n
 
     def _learn(self, h: np.ndarray, texts: list[str]) -> None:
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        n = np.fromiter(map(len, got), np.int32, len(got))
-        ids = np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        new = (h, self.used + np.cumsum(n) - n, n)
-        self.used += len(ids)
-        self.late = _sorted(self.late, new)
+        sizes = []
+        for i in range(0, len(texts), LEARN):  # an encoding is a large object, so only so many at once
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts[i : i + LEARN], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int32, len(got)))
+            ids = np.fromiter((i for x in got for i in x), np.uint32, int(sizes[-1].sum()))
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool) // 2), np.uint32)])
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+        n = np.concatenate(sizes)
+        self.late = _sorted(self.late, (h, self.used - n.sum() + np.cumsum(n) - n, n))
         if len(self.late[0]) > max(100_000, len(self.base[0]) // 4):
             self.base, self.late = _sorted(self.base, self.late), tuple(x[:0] for x in self.base)
 
@@ -140,7 +142,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return plain(docs, "doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
+    return plain(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), in the order of their places
@@ -292,7 +294,7 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(row[:, 3] + r % row[:, 4]), pa.array(row[:, 5] + size * (r // row[:, 4]))], names)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(run), f"{kinds}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:

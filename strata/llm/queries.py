@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import chat, decontaminate, licenses, mpegts, packing, sharding, simhash, sql, substrings, toxicity, warc
+from strata.llm.runtime import lean
 
 SHARDS, SHARD_SEED = 24, 20240607
 
@@ -83,7 +84,7 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
             own = [pa.array([len(x) for x in held], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in held], pa.string()), pa.array([mpegts.tail_crc(x) for x in held], pa.int64())]
             yield pa.RecordBatch.from_arrays([doc, n, *own, size, sha, pa.array(said, pa.string())], names)
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(lean(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import io
 import math
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +77,30 @@ def chunks_for(df: DataFrame, size, target_bytes: int) -> int:
 def plain(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns with clashing names stay out."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def release() -> None:
+    """Give free memory back to the system; allocators keep it, and a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def after(result: pa.Table) -> pa.Table:
+    """What a group's function returns, once memory is released."""
+    release()
+    return result
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, which releases memory when its task ends."""
+
+    @functools.wraps(run)
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return lean_run

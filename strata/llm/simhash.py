@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from strata.llm import golay
 from strata.llm import words as W
 from strata.llm.components import components
-from strata.llm.runtime import parts, plain, prepare, table
+from strata.llm.runtime import lean, parts, plain, prepare, table
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, views: tuple[tuple[int, bool, int], ...] = ((3
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", *names])
 
     prepare(docs.sparkSession)
-    return plain(docs, "doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return plain(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,8 +173,8 @@ def links(prints: DataFrame, fp: str) -> DataFrame:
         if key:
             yield flush(np.concatenate(key), np.concatenate(fp))
 
-    keys = prints.select(F.col(fp).alias("fp")).distinct().mapInArrow(file, "key long, fp long")
-    met = keys.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a long, b long")
+    keys = prints.select(F.col(fp).alias("fp")).distinct().mapInArrow(lean(file), "key long, fp long")
+    met = keys.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(lean(meet), "a long, b long")
     return met.distinct()
 
 

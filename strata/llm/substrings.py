@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.llm import words as W
-from strata.llm.runtime import chunks_for, parts, prepare
+from strata.llm.runtime import after, chunks_for, lean, parts, prepare
 
 K, M = 13, 5
 PART_BYTES = 6 << 20
@@ -234,15 +234,15 @@ def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     # a null doc_id says nothing of a row, so its text deals it out
     dealt = docs.withColumn(PART, F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n)))
     by_part = dealt.groupBy(PART)
-    mini = by_part.applyInArrow(lambda t: _name_minimisers(t, k), f"mini long, {PART} long")
+    mini = by_part.applyInArrow(lambda t: after(_name_minimisers(t, k)), f"mini long, {PART} long")
     shared_by = F.count("*").over(Window.partitionBy("mini"))
     wanted = mini.withColumn("n", shared_by).where("n > 1").select("mini", PART)
-    sent = by_part.cogroup(wanted.groupBy(PART)).applyInArrow(lambda a, b: _send(a, b, k), f"mini long, {PART} long, low long, packed binary")
+    sent = by_part.cogroup(wanted.groupBy(PART)).applyInArrow(lambda a, b: after(_send(a, b, k)), f"mini long, {PART} long, low long, packed binary")
     buckets = sent.repartition(parts(spark), "mini").sortWithinPartitions("mini")
-    told = buckets.mapInArrow(_whole_buckets(k), f"{PART} long, h1 long, h2 long, least long")
+    told = buckets.mapInArrow(lean(_whole_buckets(k)), f"{PART} long, h1 long, h2 long, least long")
     out = T.StructType([f for f in dealt.schema.fields if f.name != PART]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(out)
     names, types = arrow.names, arrow.types
-    return by_part.cogroup(told.groupBy(PART)).applyInArrow(lambda a, b: _settle(a, b, k, names, types), out)
+    return by_part.cogroup(told.groupBy(PART)).applyInArrow(lambda a, b: after(_settle(a, b, k, names, types)), out)

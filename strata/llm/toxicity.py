@@ -24,12 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import words as W
-from strata.llm.runtime import plain, prepare, table
+from strata.llm.runtime import lean, plain, prepare, table
 
 SAMPLE, FEATURES, BITS, SIZES, DENSITY = 20_000, 2048, 20, (4, 6, 7), (1500, 700, 350)
 SPACE_SIZE = (1 + len(DENSITY)) << BITS
@@ -170,18 +171,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float =
     rows = table(text.join(F.broadcast(own), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, SPACE_SIZE), np.int64)
+        n = np.zeros((2, SPACE_SIZE), np.int32)
         for b in batches:
             y = b.column(1).to_numpy()
-            for i, part in W.chunked(b.column(0), 1_000_000):
+            for i, part in W.chunked(b.column(0)):
                 doc, f = _present(part)
                 hit = y[i : i + len(part)][doc] > 0
-                n[0] += np.bincount(f[~hit], minlength=SPACE_SIZE)
-                n[1] += np.bincount(f[hit], minlength=SPACE_SIZE)
-        at = np.flatnonzero(n.sum(axis=0))
+                np.add.at(n[0], f[~hit], 1)
+                np.add.at(n[1], f[hit], 1)
+        at = np.flatnonzero((n[0] > 0) | (n[1] > 0))
         for i in range(0, len(at), 50_000):
             a = at[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n[0, a]), pa.array(n[1, a])], ["bucket", "n0", "n1"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n[0, a].astype(np.int64)), pa.array(n[1, a].astype(np.int64))], ["bucket", "n0", "n1"])
 
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("toxic") > 0, 1)), F.lit(0)).alias("n1")).first()
     if not size["n1"] or size["n1"] == size["n"]:
@@ -189,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float =
     q = size["n1"] / size["n"]
     m = F.col("n0") + F.col("n1")
     chi = F.pow(F.col("n1") - m * q, F.lit(2)) / (m * q * (1 - q) * (1 - m / F.lit(float(size["n"]) + 1)))
-    totals = rows.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    totals = rows.mapInArrow(lean(count), "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     best = totals.where(m >= LEAST).orderBy(chi.desc(), "bucket").limit(FEATURES).select("bucket").collect()
     model = Model(np.array([r["bucket"] for r in best], np.int64), np.zeros(len(best)), 0.0)
 
@@ -211,10 +212,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float =
                     edges = np.searchsorted(which[o], np.arange(len(swaps) + 1)).astype(np.int32)
                     yield _rows(1, np.zeros(len(swaps), np.int64), edges, f[o], sign[o])
 
-    got = rows.mapInArrow(features, "kind int, y int, f array<int>, s array<double>").toArrow()
+    got = rows.mapInArrow(lean(features), "kind int, y int, f array<int>, s array<double>").toArrow()
 
     def part(kind: int):
-        t = got.filter(pa.compute.equal(got["kind"], kind)).combine_chunks()
+        t = got.filter(pc.equal(got["kind"], kind)).combine_chunks()
         f = t["f"].to_pylist()
         each = np.array([len(x) for x in f], np.int64)
         flat = np.fromiter((i for x in f for i in x), np.int64, int(each.sum()))
@@ -246,9 +247,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = sent.value
         column = m.column()
         for b in batches:
-            s = [m.scores(part, column) for _, part in W.chunked(b.column(at), 1_000_000)]
+            s = [m.scores(part, column) for _, part in W.chunked(b.column(at))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(s) if s else np.zeros(0))], names)
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields]).add("score", "double"))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields]).add("score", "double"))

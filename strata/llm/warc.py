@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.runtime import parts, plain, prepare, table
+from strata.llm.runtime import lean, parts, plain, prepare, table
 
 ARCHIVE_BYTES = 8 << 20
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
@@ -126,7 +126,7 @@ def write(pages: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return table(told.mapInArrow(run, "archive string, content binary"), "warc")
+    return table(told.mapInArrow(lean(run), "archive string, content binary"), "warc")
 
 
 INDEX = "archive string, offset long, length long, page_id long, url_key string, date string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -144,7 +144,7 @@ def index(archives: DataFrame) -> DataFrame:
                 rows.sort(key=_order)
                 yield _batch(rows)
 
-    return archives.mapInArrow(run, INDEX)
+    return archives.mapInArrow(lean(run), INDEX)
 
 
 def _order(r: tuple) -> tuple:
@@ -216,7 +216,7 @@ def merge(lines: DataFrame) -> DataFrame:
             yield _batch(out, list(range(n, n + len(out))))
 
     sorted_runs = lines.repartitionByRange(parts(spark), "url_key", "date", "page_id").sortWithinPartitions("archive", "url_key", "date", F.asc_nulls_first("page_id"), "offset")
-    return sorted_runs.mapInArrow(run, INDEX + ", capture_order long")
+    return sorted_runs.mapInArrow(lean(run), INDEX + ", capture_order long")
 
 
 def captures(pages: DataFrame) -> DataFrame:
