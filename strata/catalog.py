@@ -20,9 +20,10 @@ from strata.operators.graph import Graph
 from strata.operators.vectors import CellIndex, search, top_k
 from strata.plans import algorithms as A
 from strata.plans.traversal import two_hops_with_repeats
+from strata.sources import binary
 from strata.sources.lineage import settled, shared
 from strata.sources.log import newest
-from strata.streaming.observe import latest_stream
+from strata.streaming.observe import latest_stream, observe_all, observe_by_id
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,6 +129,21 @@ def kv_write_after_compaction(spark, sf_dir):
     return _text(db.kv.df())
 
 
+@query(f"with {LIVE_SQL} select k as key, v as value from live")
+def kv_segment_files(spark, sf_dir):
+    """The puts of each user's newest event as sorted binary segments, read back."""
+    rows = newest(puts(spark, sf_dir), ["key"], F.col("event_id")).select("key", "value")
+    files = binary.encode(rows.repartitionByRange(3, "key").sortWithinPartitions("key"), binary.segment)
+    return _text(binary.decode(files, binary.segment_pairs).where(F.octet_length("value") > 0).select("key", "value"))
+
+
+@query("select concat('user:', user_id) as key, count(*) as writes from events group by 1")
+def kv_log_replay(spark, sf_dir):
+    """All puts as write-ahead logs, replayed."""
+    files = binary.encode(puts(spark, sf_dir), binary.log_batch, 1000)
+    return binary.decode(files, binary.log_pairs).groupBy(F.col("key").cast("string").alias("key")).agg(F.count("*").alias("writes"))
+
+
 # Documents: parts by brand and number.
 
 PART_SQL = "select concat(p_brand, ':', p_partkey) as id, p_name as name, p_brand as brand, p_size as size, p_retailprice as price from part"
@@ -279,9 +295,17 @@ def vec_topk_batch(spark, sf_dir):
 
 @query()
 def vec_topk_ann(spark, sf_dir):
-    """The queries of vec_topk_batch from the 12 nearest cells."""
+    """The queries of vec_topk_batch, from as many cells as the index was set to."""
     v = stored_vectors(spark, sf_dir)
-    return CellIndex.build(v).top_k(v.where("vec_id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), 5, nprobe=12).select("query_id", "id", micro(F.col("score")).alias("score"), "rank")
+    return CellIndex.build(v).top_k(v.where("vec_id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), 5).select("query_id", "id", micro(F.col("score")).alias("score"), "rank")
+
+
+@query("select count(*) as queries, true as enough from embeddings where vec_id % 20 = 0")
+def vec_ann_recall(spark, sf_dir):
+    """Whether the cells of vec_topk_ann hold nine tenths of the exact answers."""
+    exact, got = vec_topk_batch(spark, sf_dir).select("query_id", "id"), vec_topk_ann(spark, sf_dir).select("query_id", "id", F.lit(1).alias("hit"))
+    each = exact.join(got, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+    return each.agg(F.count("*").alias("queries"), (F.sum("hits") >= 0.9 * F.sum("n")).alias("enough"))
 
 
 @query("select cast(vec_id as varchar) as id from embeddings where vec_id % 2 = 1 and false")
@@ -567,6 +591,34 @@ def stream_latest(spark, sf_dir):
     return settled(got.select("user_id", "event_type", micro(F.col("value")).alias("value")), "latest")
 
 
+def _observed(spark: SparkSession, sf_dir: str, watch) -> list:
+    """What watch's observer emits over three writes to the parts."""
+    coll, seen = part_collection(spark, sf_dir), []
+    q = watch(coll, seen, f"{shared(spark).rstrip('/')}/strata-observe-{uuid.uuid4().hex}")
+    try:
+        coll.insert("Brand#17:1", name="renamed", brand="Brand#17", size=1, price=1.0)
+        coll.insert_batch(part_docs(spark, sf_dir).where("size = 3"))
+        coll.delete("Brand#17:1")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return seen
+
+
+@query("select 0 as n, p_name as name from part where p_partkey = 1 and p_brand = 'Brand#17' union all select 0, null where not exists (select 1 from part where p_partkey = 1 and p_brand = 'Brand#17') union all select 1, 'renamed' union all select 2, null")
+def stream_observe_by_id(spark, sf_dir):
+    """A document as its observer sees it; the part with its id has another size than those written in between."""
+    seen = _observed(spark, sf_dir, lambda c, seen, at: observe_by_id(c, "Brand#17:1", lambda r: seen.append(None if r is None else r["name"]), at, processingTime="0 seconds"))
+    return spark.createDataFrame(list(enumerate(seen)), "n int, name string")
+
+
+@query("with c as (select count(*) as docs, count(*) filter (p_partkey = 1 and p_brand = 'Brand#17') as had from part) select 0 as n, docs from c union all select 1, docs + 1 - had from c union all select 2, docs + 1 - had from c union all select 3, docs - had from c")
+def stream_observe_all(spark, sf_dir):
+    """How many documents each emission has."""
+    seen = _observed(spark, sf_dir, lambda c, seen, at: observe_all(c, lambda df: seen.append(df.count()), at, processingTime="0 seconds"))
+    return spark.createDataFrame(list(enumerate(seen)), "n int, docs long")
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files."""
     e, path = read(spark, sf_dir, "events"), f"{shared(spark).rstrip('/')}/strata-events-{uuid.uuid4().hex}"

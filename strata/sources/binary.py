@@ -6,16 +6,17 @@ magic i32). Log: batches of a begin mark, puts (mark, key length, value length,
 CRC-32 of key and value as i64, key, value) and a commit mark, all marks i32.
 
 Files are read through Spark's binaryFile source, from any file system that it
-reads, one task for each; a file is at most 2 GB. Writers make one file's bytes.
+reads, one task for each; a file is at most 2 GB. Writers make files' bytes.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,8 +129,12 @@ def log_pairs(data: bytes) -> Iterator[tuple[bytes, bytes]]:
             return
 
 
-def _read(spark: SparkSession, paths: str | list[str], pairs, skip_corrupt: bool) -> DataFrame:
-    ship(spark)
+PAIRS = "path string, position long, key binary, value binary"
+
+
+def decode(files: DataFrame, pairs: Callable[[bytes], Iterator[tuple[bytes, bytes]]], skip_corrupt: bool = False) -> DataFrame:
+    """(path, position, key, value) of files (path, content)."""
+    ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,7 +142,7 @@ def _read(spark: SparkSession, paths: str | list[str], pairs, skip_corrupt: bool
                 keys, values, n = [], [], 0
 
                 def flush():
-                    return pa.RecordBatch.from_arrays([pa.array([path] * len(keys)), pa.array(range(n - len(keys), n), pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["path", "position", "key", "value"])  # noqa: B023
+                    return pa.RecordBatch.from_arrays([pa.array([path] * len(keys), pa.string()), pa.array(range(n - len(keys), n), pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["path", "position", "key", "value"])  # noqa: B023
 
                 try:
                     for k, v in pairs(data.as_buffer().to_pybytes()):
@@ -153,8 +158,33 @@ def _read(spark: SparkSession, paths: str | list[str], pairs, skip_corrupt: bool
                 if keys:
                     yield flush()
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(run, "path string, position long, key binary, value binary")
+    return files.select("path", "content").mapInArrow(run, PAIRS)
+
+
+def encode(rows: DataFrame, make: Callable[[list[tuple[bytes, bytes]]], bytes], pairs_each: int = 100_000) -> DataFrame:
+    """(path, content): files of up to pairs_each pairs from each partition's rows (key, value), in their order."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, held = TaskContext.get().partitionId(), 0, []
+
+        def file():
+            return pa.RecordBatch.from_arrays([pa.array([f"{part}_{n}"]), pa.array([make(held)], pa.binary())], ["path", "content"])
+
+        for b in batches:
+            held += zip(b["key"].to_pylist(), b["value"].to_pylist(), strict=True)
+            while len(held) > pairs_each:
+                rest, held = held[pairs_each:], held[:pairs_each]
+                yield file()
+                n, held = n + 1, rest
+        if held:
+            yield file()
+
+    return rows.select("key", "value").mapInArrow(run, "path string, content binary")
+
+
+def _read(spark: SparkSession, paths: str | list[str], pairs, skip_corrupt: bool) -> DataFrame:
+    return decode(spark.read.format("binaryFile").load(paths), pairs, skip_corrupt)
 
 
 def read_segments(spark: SparkSession, paths: str | list[str], skip_corrupt: bool = False) -> DataFrame:

@@ -56,3 +56,11 @@ def test_a_log_can_be_put_into_a_store(spark, tmp_path, db):
     rows = B.read_logs(spark, write(tmp_path / "x.wal", B.log_batch([(b"a", b"1")]) + B.log_batch([(b"a", b"2"), (b"b", b"3"), (b"b", b"")])))
     db.kv.write(rows, rows["position"])
     assert db.kv.get(b"a") == b"2" and db.kv.get(b"b") is None
+
+
+def test_tables_become_files_and_come_back(spark):
+    rows = spark.createDataFrame([(f"k{i:04}".encode(), str(i).encode()) for i in range(950)], "key binary, value binary")
+    files = B.encode(rows.repartitionByRange(3, "key").sortWithinPartitions("key"), B.segment, 100)
+    assert files.count() >= 10
+    assert sorted((bytes(r["key"]), bytes(r["value"])) for r in B.decode(files, B.segment_pairs).collect()) == [(f"k{i:04}".encode(), str(i).encode()) for i in range(950)]
+    assert B.decode(B.encode(rows, B.log_batch, 7), B.log_pairs).count() == 950
