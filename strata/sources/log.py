@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from strata.sources.files import Folder
 
 META = T.StructType().add("_batch", "long").add("_ord", "long").add("_op", "string")
-TRIES = 100
+TRIES, TICKETS = 100, 64
 
 
 @dataclass(frozen=True)
@@ -71,8 +71,11 @@ class Store:
         for _ in range(TRIES):
             names = [n for n in self._tickets.names() if not n.startswith(".")]
             n = int(names[-1]) + 1 if names else 1
-            if self._tickets.claim(f"{n:020d}", ""):
-                for old in names[:-8]:
+            if not self._tickets.claim(f"{n:020d}", ""):
+                continue
+            # a number that was given out and deleted meanwhile is at least TICKETS behind the newest
+            if int([x for x in self._tickets.names() if not x.startswith(".")][-1]) - n < TICKETS:
+                for old in names[:-TICKETS]:
                     self._tickets.delete(old)
                 return n
         raise RuntimeError("too many writers at once")
@@ -95,8 +98,12 @@ class Store:
         return f"{self.path}/segments/{entity}/{uuid.uuid4().hex}"
 
     def clean(self) -> None:
-        """Delete what the newest version doesn't name. Only while nobody writes or reads an older version."""
-        named = {s["path"] for s in self.manifest()["segments"]}
+        """Delete older versions and what the newest doesn't name. Only while nobody writes or reads an older version."""
+        newest_ = self.version()
+        named = {s["path"] for s in self.manifest(newest_)["segments"]}
+        for name in self._versions.names():
+            if name < f"{newest_:020d}.json":
+                self._versions.delete(name)
         top = Folder(self.spark, f"{self.path}/segments")
         for entity in top.names():
             for name in Folder(self.spark, f"{top.path}/{entity}").names():

@@ -58,7 +58,9 @@ def test_compaction_keeps_the_newest_and_drops_deletes(db):
     assert {bytes(r["key"]): bytes(r["value"]) for r in db.kv.df().collect()} == {b"a": b"4"}
     assert db.kv.compact() and db.kv.compact() == db.version()
     db.store.clean()
-    assert db.kv.get(b"a") == b"4"
+    assert db.kv.get(b"a") == b"4" and len(db.store._versions.names()) == 1
+    db.kv.put(b"b", b"5")
+    assert db.kv.get(b"b") == b"5"
 
 
 def test_numbers_of_segments_are_numeric(db):
