@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime, timedelta
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.runtime import lean, parts, plain, prepare, table
 
-ARCHIVE_BYTES = 8 << 20
+ARCHIVE_BYTES, RANGE_LINES = 8 << 20, 50_000
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -198,8 +199,11 @@ class LoserTree:
 
 
 def merge(lines: DataFrame) -> DataFrame:
-    """The index in global order of URL key, date and page, with that order as the column capture_order."""
-    spark = lines.sparkSession
+    """The index in global order of URL key, date and page, with that order as the column capture_order.
+
+    lines: a written table, as it is counted first: a range has about RANGE_LINES lines at most, which is what a task holds.
+    """
+    ranges = max(parts(lines.sparkSession), math.ceil(lines.count() / RANGE_LINES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, runs = TaskContext.get().partitionId(), {}
@@ -215,7 +219,7 @@ def merge(lines: DataFrame) -> DataFrame:
         if out:
             yield _batch(out, list(range(n, n + len(out))))
 
-    sorted_runs = lines.repartitionByRange(parts(spark), "url_key", "date", "page_id").sortWithinPartitions("archive", "url_key", "date", F.asc_nulls_first("page_id"), "offset")
+    sorted_runs = lines.repartitionByRange(ranges, "url_key", "date", "page_id").sortWithinPartitions("archive", "url_key", "date", F.asc_nulls_first("page_id"), "offset")
     return sorted_runs.mapInArrow(lean(run), INDEX + ", capture_order long")
 
 
