@@ -3,15 +3,16 @@
 For filtering a corpus: two texts are near copies if the Jaccard similarity of
 their sets of SHINGLE-word shingles is at least SIMILARITY. Equal texts are one
 class by digest. A class has a SimHash of its distinct words for each of VIEWS
-seeds, and Golay-code keys of all of them bring candidates together; measured on
+hashes, and Golay-code keys of all of them bring candidates together; measured on
 the test tables, eight views bring every pair of that similarity within 3 bits.
 Candidates are compared by bottom-k sketches, which only drop pairs far below
 the mark, and the rest by their whole shingle sets.
 
 A key's run of up to RUN texts gives all its close pairs. A longer one gives a
-spanning forest of them and each text's neighbours by id, and counts as crowded;
-while any was, the texts that were not yet found to copy a smaller one go round
-again, and the last round takes all close pairs of every run.
+spanning forest of them and each text's neighbours by id, and is crowded; and of
+more than PAIRS smaller candidates a text is held against the first and last.
+Texts of crowded runs or with more candidates that were not yet found to copy a
+smaller text go round again, and the last round takes all close pairs of every run.
 
 Texts without words have no near copies. A row whose doc_id is null is kept.
 """
@@ -31,7 +32,7 @@ from strata.llm import words as W
 from strata.llm.components import components
 from strata.llm.runtime import lean, parts, plain, prepare, table
 
-SHINGLE, SIMILARITY, VIEWS, SKETCH, RUN, ROUNDS = 5, 0.8, 8, 64, 16, 3
+SHINGLE, SIMILARITY, VIEWS, SKETCH, RUN, STEPS, PAIRS, ROUNDS = 5, 0.8, 8, 64, 16, 2, 12, 3
 _MARGIN = 0.25  # over 4 standard errors of a sketch
 
 
@@ -57,7 +58,7 @@ def _prints(docs: DataFrame, views: int) -> DataFrame:
                 new[1:] = (own[order][1:] != own[order][:-1]) | (doc[order][1:] != doc[order][:-1])
                 at = order[new]
                 n = np.bincount(doc[at], minlength=len(part))
-                fp = np.stack([simhash.majority(W.xxh64(w.buf, w.start[at], w.end[at], 42 + v), n) for v in range(views)], axis=1).view(np.int64)
+                fp = np.stack([simhash.majority(W.mix(own[at] ^ W.mix(np.array([v], np.uint64) + W.P3)), n) for v in range(views)], axis=1).view(np.int64)
                 sketch = [x[:SKETCH].view(np.int64).tolist() for x in _shingle_sets(part)]
                 sums = [hashlib.sha1((x or "").encode()).digest() for x in part.to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), pa.array(sums, pa.binary()), pa.array(fp.tolist(), pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "digest", "fps", "sketch"])
@@ -75,14 +76,14 @@ def _near(fp: np.ndarray, ident: np.ndarray, every: bool) -> tuple[np.ndarray, b
             out.append(np.stack([np.full(len(j), ident[i]), ident[j]]))
         return np.concatenate(out, axis=1), False
     pairs = simhash.forest(fp)
-    for step in range(1, 9):
+    for step in range(1, STEPS + 1):
         j = np.flatnonzero(np.bitwise_count(fp[step:] ^ fp[:-step]) <= simhash.MAX_BITS)
         pairs += list(zip(j.tolist(), (j + step).tolist(), strict=True))
     return (np.stack([ident[[a for a, _ in pairs]], ident[[b for _, b in pairs]]]) if pairs else np.zeros((2, 0), np.int64)), bool(pairs)
 
 
 def _candidates(texts: DataFrame, every: bool) -> DataFrame:
-    """(a, b): close pairs of texts (id, fps); a row of equal ends says that a run was crowded."""
+    """(a, b): close pairs of texts (id, fps), a < b; a row of equal ends says that a text was in a crowded run."""
     n = parts(texts.sparkSession)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +110,10 @@ def _candidates(texts: DataFrame, every: bool) -> DataFrame:
                 pairs, crowded = _near(fp[at : at + m], ident[at : at + m], every)
                 got.append(pairs)
                 if crowded:
-                    got.append(np.full((2, 1), ident[at]))
-            a = np.unique(np.concatenate(got, axis=1), axis=1)
+                    got.append(np.stack([ident[at : at + m]] * 2))
+            a = np.sort(np.concatenate(got, axis=1), axis=0)
+            a = a[:, np.lexsort(a)]
+            a = a[:, np.concatenate([[True], (a[:, 1:] != a[:, :-1]).any(axis=0)])] if a.shape[1] else a
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in a.astype(np.int64)], ["a", "b"])
 
         held, size = [], 0
@@ -170,16 +173,24 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, views: int = VIEWS)
     alive, found = classes.where(F.size("sketch") > 0), equal
     for left in reversed(range(ROUNDS)):
         met = table(_candidates(alive, every=not left), "met")
-        crowded = bool(met.where("a = b").limit(1).count())
+        sets = met.where("a <> b").groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("a"))  # a text is in few keys, and a run gives it a few others
+        if left:
+            many, half = F.size("a") > PAIRS, PAIRS // 2
+            pairs = sets.select(F.explode(F.when(many, F.concat(F.slice("a", 1, half), F.slice("a", -half, half))).otherwise(F.col("a"))).alias("a"), "b")
+            again = met.where("a = b").select(F.col("a").alias("id")).unionByName(sets.where(many).select(F.explode(F.concat("a", F.array("b"))).alias("id")))
+            again = table(again.distinct(), "again")
+        else:
+            pairs = met.where("a <> b")
+        pairs = table(pairs, "pairs")
         # a text that no pair names is not carried along
-        named = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         bodies = own.withColumnRenamed("doc_id", "id").join(named, "id").dropDuplicates(["id"])
-        copies = _verify(met.where("a <> b"), alive.join(named, "id"), bodies, similarity)
+        copies = _verify(pairs, alive.join(named, "id"), bodies, similarity)
         found = found.unionByName(copies)
-        if not crowded:
+        if not left or again.isEmpty():
             break
         gone = components(copies, "a", "b").where("node <> root").select(F.col("node").alias("id"))
-        alive = table(alive.join(gone, "id", "left_anti"), "alive")
+        alive = table(alive.join(again, "id", "left_semi").join(gone, "id", "left_anti"), "alive")
     return components(found, "a", "b").select(F.col("node").alias("doc_id"), F.col("root").alias("group"))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import words as W
-from strata.llm.runtime import lean, plain, prepare, table
+from strata.llm.runtime import lean, plain, prepare, release, table
 
 SAMPLE, FEATURES, BITS, SIZES, DENSITY = 20_000, 2048, 20, (4, 6, 7), (1500, 700, 350)
 SPACE_SIZE = (1 + len(DENSITY)) << BITS
@@ -134,21 +134,49 @@ def _swaps(text: str, terms: tuple[tuple[str, ...], ...], find) -> list[tuple[st
     return out
 
 
-def fit_features(n: int, row: np.ndarray, feature: np.ndarray, y: np.ndarray, width: int, pairs: int = 0, pair: np.ndarray | None = None, pair_feature: np.ndarray | None = None, sign: np.ndarray | None = None, fair: float = FAIR) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on: log loss + RIDGE |w|^2 / 2 + fair * mean over pairs of (w . difference)^2 / 2."""
+def _strips(edges: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that have about `most` entries."""
+    lo = 0
+    while lo < len(edges) - 1:
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + most, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def _products(edges: np.ndarray, feature: np.ndarray, w: np.ndarray, width: int, outer, sign: np.ndarray | None = None) -> np.ndarray:
+    """X' outer(X w), for a sparse X with rows at edges, in strips; outer gets the first row and the strip's X w."""
+    out = np.zeros(width)
+    for lo, hi in _strips(edges):
+        a, z = edges[lo], edges[hi]
+        f, row = feature[a:z].astype(np.int64), np.repeat(np.arange(hi - lo), np.diff(edges[lo : hi + 1]))
+        s = 1.0 if sign is None else sign[a:z]
+        out += np.bincount(f, outer(lo, np.bincount(row, w[f] * s, hi - lo))[row] * s, width)
+    return out
+
+
+def fit_features(edges: np.ndarray, feature: np.ndarray, y: np.ndarray, width: int, pair_edges: np.ndarray | None = None, pair_feature: np.ndarray | None = None, sign: np.ndarray | None = None, fair: float = FAIR) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on: log loss + RIDGE |w|^2 / 2 + fair * mean over pairs of (w . difference)^2 / 2.
+
+    Row i has the features feature[edges[i]:edges[i + 1]]; pairs alike, with the sign of each.
+    """
+    n, pairs = len(edges) - 1, 0 if pair_edges is None else len(pair_edges) - 1
     w, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
     prior = float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     bias, mb, vb = prior, 0.0, 0.0
     if not n or not 0 < y.sum() < n:
         return w, prior
     for t in range(1, ROUNDS + 1):
-        p = 1 / (1 + np.exp(-(np.bincount(row, w[feature], n) + bias)))
-        g = (p - y) / n
-        gw = np.bincount(feature, g[row], width) + RIDGE * w
+        gb = 0.0
+
+        def error(lo: int, x: np.ndarray) -> np.ndarray:
+            nonlocal gb
+            g = (1 / (1 + np.exp(-(x + bias))) - y[lo : lo + len(x)]) / n  # noqa: B023
+            gb += g.sum()
+            return g
+
+        gw = _products(edges, feature, w, width, error) + RIDGE * w
         if pairs and fair:
-            change = np.bincount(pair, w[pair_feature] * sign, pairs)
-            gw += fair / pairs * np.bincount(pair_feature, change[pair] * sign, width)
-        gb = g.sum()
+            gw += fair / pairs * _products(pair_edges, pair_feature, w, width, lambda _, x: x, sign)
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.05 / (1 - 0.9**t)
@@ -212,26 +240,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float =
                     edges = np.searchsorted(which[o], np.arange(len(swaps) + 1)).astype(np.int32)
                     yield _rows(1, np.zeros(len(swaps), np.int64), edges, f[o], sign[o])
 
-    got = rows.mapInArrow(lean(features), "kind int, y int, f array<int>, s array<double>").toArrow()
+    got = rows.mapInArrow(lean(features), "kind int, y int, f array<smallint>, s array<tinyint>").toArrow()
 
     def part(kind: int):
         t = got.filter(pc.equal(got["kind"], kind)).combine_chunks()
-        f = t["f"].to_pylist()
-        each = np.array([len(x) for x in f], np.int64)
-        flat = np.fromiter((i for x in f for i in x), np.int64, int(each.sum()))
-        sign = np.fromiter((i for x in t["s"].to_pylist() for i in x), float, int(each.sum()))
-        return len(f), np.repeat(np.arange(len(f)), each), flat, t["y"].to_numpy().astype(float), sign
-
-    n, row, f, y, _ = part(0)
-    pairs, pair, pf, _, sign = part(1)
-    model.weights, model.bias = fit_features(n, row, f, y, len(best), pairs, pair, pf, sign, fair)
+        f, s = (t[c].chunk(0) if t[c].num_chunks else pa.array([], t[c].type) for c in ("f", "s"))
+        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(f).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        return edges, f.flatten().to_numpy(), t["y"].to_numpy().astype(float), s.flatten().to_numpy()
+
+    edges, f, y, _ = part(0)
+    pair_edges, pair_feature, _, sign = part(1)
+    model.weights, model.bias = fit_features(edges, f, y, len(best), pair_edges, pair_feature, sign, fair)
+    del got, f, pair_feature, sign
+    release()
     return model
 
 
 def _rows(kind: int, y: np.ndarray, edges: np.ndarray, f: np.ndarray, sign: np.ndarray) -> pa.RecordBatch:
     arrays = [
         pa.array(np.full(len(y), kind, np.int32)), pa.array(y.astype(np.int32)),
-        pa.ListArray.from_arrays(pa.array(edges), pa.array(f.astype(np.int32))), pa.ListArray.from_arrays(pa.array(edges), pa.array(sign)),
+        pa.ListArray.from_arrays(pa.array(edges), pa.array(f.astype(np.int16))), pa.ListArray.from_arrays(pa.array(edges), pa.array(sign.astype(np.int8))),
     ]
     return pa.RecordBatch.from_arrays(arrays, ["kind", "y", "f", "s"])
 

@@ -63,13 +63,22 @@ def test_swaps_change_identity_terms_only():
 
 
 def test_penalty_shrinks_the_change():
-    row, feature, y = np.array([0, 0, 1, 2, 2, 3]), np.array([0, 1, 2, 0, 1, 2]), np.array([1.0, 0, 1, 0])
-    kw = {"pairs": 1, "pair": np.array([0, 0]), "pair_feature": np.array([1, 2]), "sign": np.array([1.0, -1.0])}
-    free, _ = toxicity.fit_features(4, row, feature, y, 3, fair=0.0, **kw)
-    held, _ = toxicity.fit_features(4, row, feature, y, 3, fair=50.0, **kw)
+    edges, feature, y = np.array([0, 2, 3, 5, 6]), np.array([0, 1, 2, 0, 1, 2]), np.array([1.0, 0, 1, 0])
+    pairs = np.array([0, 2]), np.array([1, 2]), np.array([1.0, -1.0])
+    free, _ = toxicity.fit_features(edges, feature, y, 3, *pairs, fair=0.0)
+    held, _ = toxicity.fit_features(edges, feature, y, 3, *pairs, fair=50.0)
     assert abs(held[1] - held[2]) <= abs(free[1] - free[2]) + 1e-9
 
 
+def test_products_in_strips(monkeypatch):
+    gen = np.random.default_rng(2)
+    x = gen.integers(0, 2, (30, 12))
+    edges, feature, w = np.append(0, np.cumsum(x.sum(axis=1))), np.nonzero(x)[1], gen.standard_normal(12)
+    monkeypatch.setattr(toxicity._strips, "__defaults__", (17,))
+    assert len(list(toxicity._strips(edges))) > 5
+    assert np.allclose(toxicity._products(edges, feature, w, 12, lambda lo, v: v**2 + lo * 0), x.T @ (x @ w) ** 2)
+
+
 def test_nulls_blanks_ties_and_no_labels(spark, table, corpus):
     docs = corpus
     labels = [(i, 1) for i in (1, 3, 3, 5)] + [(3, 0), (7, 0), (9, 0), (None, 1), (8, None), (80, 0), (4000, 1)]
