@@ -142,39 +142,48 @@ def dfs_table(graph: Graph, start: str, type: str) -> DataFrame:
     return graph.spark.createDataFrame(list(dfs(graph, start, type)), "id string, visit_order int")
 
 
+def _weighted(graph: Graph, type: str, weight_name: str) -> DataFrame:
+    return graph.of_type(type).select("source_id", "target_id", weight(weight_name).alias("extra")).groupBy("source_id", "target_id").agg(F.min("extra").alias("extra"))
+
+
+def _cheapest(small: _Small, start: str, target: str | None) -> list[tuple[str, float, int, str | None]]:
+    """(id, distance, steps, previous) by a priority queue; up to target, if it is reached."""
+    if len(small.extra) and np.nanmin(small.extra) < 0:
+        raise ValueError("negative weight")
+    s = small.number(start)
+    if s is None:
+        return [(start, 0.0, 0, None)]
+    order, first = small.rows()
+    to, cost = small.target[order].tolist(), small.extra[order].tolist()
+    best, prev, done, heap = {s: (0.0, 0)}, {s: None}, set(), [(0.0, 0, s)]
+    goal = None if target is None else small.number(target)
+    while heap:
+        d, n, v = heapq.heappop(heap)
+        if v in done:
+            continue
+        done.add(v)
+        if v == goal:
+            break
+        for e in range(first[v], first[v + 1]):
+            w, way = to[e], (d + cost[e], n + 1)
+            if w not in best or way < best[w]:
+                best[w], prev[w] = way, v
+                heapq.heappush(heap, (*way, w))
+            elif way == best[w] and v < prev[w]:
+                prev[w] = v
+    return [(small.names[v], *best[v], None if prev[v] is None else small.names[prev[v]]) for v in sorted(done)]
+
+
 def distances(graph: Graph, start: str, type: str, weight_name: str = "weight", local: int = LOCAL, target: str | None = None) -> DataFrame:
     """(id, distance, steps, previous) of the cheapest ways from start; of equally cheap ones that of fewest steps, then of the smallest previous id.
 
     start itself is at 0. Ends of edges need not be nodes. Negative weights are an error. target: may stop when its way is settled.
     """
     spark, out = graph.spark, "id string, distance double, steps int, previous string"
-    own = graph.of_type(type).select("source_id", "target_id", weight(weight_name).alias("extra")).groupBy("source_id", "target_id").agg(F.min("extra").alias("extra"))
+    own = _weighted(graph, type, weight_name)
     small = _small(own, local)
     if small:
-        if len(small.extra) and np.nanmin(small.extra) < 0:
-            raise ValueError("negative weight")
-        s = small.number(start)
-        if s is None:
-            return spark.createDataFrame([(start, 0.0, 0, None)], out)
-        order, first = small.rows()
-        to, cost = small.target[order].tolist(), small.extra[order].tolist()
-        best, prev, done, heap = {s: (0.0, 0)}, {s: None}, set(), [(0.0, 0, s)]
-        goal = None if target is None else small.number(target)
-        while heap:
-            d, n, v = heapq.heappop(heap)
-            if v in done:
-                continue
-            done.add(v)
-            if v == goal:
-                break
-            for e in range(first[v], first[v + 1]):
-                w, way = to[e], (d + cost[e], n + 1)
-                if w not in best or way < best[w]:
-                    best[w], prev[w] = way, v
-                    heapq.heappush(heap, (*way, w))
-                elif way == best[w] and v < prev[w]:
-                    prev[w] = v
-        return spark.createDataFrame([(small.names[v], *best[v], None if prev[v] is None else small.names[prev[v]]) for v in sorted(done)], out)
+        return spark.createDataFrame(_cheapest(small, start, target), out)
     own = own.withColumn("extra", F.when(F.col("extra") < 0, F.raise_error(F.lit("negative weight")).cast("double")).otherwise(F.col("extra")))
     edges = settled(own, "edges")
     best = changed = settled(spark.createDataFrame([(start, 0.0, 0, None)], out), "paths")
@@ -195,14 +204,23 @@ def shortest_path(graph: Graph, start: str, end: str, type: str, weight_name: st
     """The edges (source, target, distance so far) of the cheapest way; [] from a node to itself, None where there is no way."""
     if start == end:
         return []
-    way = settled(distances(graph, start, type, weight_name, local, end), "way")
+    small = _small(_weighted(graph, type, weight_name), local)
+    if small:
+        way, few = None, {i: (p, d) for i, d, _, p in _cheapest(small, start, end)}
+    else:
+        way = settled(distances(graph, start, type, weight_name, -1, end), "way")
+        rows = way.select("id", "previous", "distance").limit(local + 1).collect() if local > 0 else []
+        few = {r["id"]: (r["previous"], r["distance"]) for r in rows} if 0 < len(rows) <= local else None
     out, at = [], end
     while at != start:
-        row = way.where(F.col("id") == at).first()
+        if few is not None:
+            row = few.get(at)
+        else:  # as many lookups as the way has edges
+            row = way.where(F.col("id") == at).select("previous", "distance").first()
         if row is None:
             return None
-        out.append((row["previous"], at, row["distance"]))
-        at = row["previous"]
+        out.append((row[0], at, row[1]))
+        at = row[0]
     return out[::-1]
 
 
