@@ -45,6 +45,11 @@ def _shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return [np.unique(x) for x in np.split(h, cut)] if len(texts) else []
 
 
+def _all_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sets of texts of any size, some at a time."""
+    return [x for _, part in W.chunked(texts) for x in _shingle_sets(part)]
+
+
 def _prints(docs: DataFrame, views: int) -> DataFrame:
     """A row for each document: digest, fingerprints of its distinct words, bottom-k sketch."""
 
@@ -150,8 +155,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, bodies: DataFrame, similarity: f
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for i in range(0, len(b), 100):
-                for p, q in zip(_shingle_sets(b.column(2).slice(i, 100)), _shingle_sets(b.column(3).slice(i, 100)), strict=True):
+            for i, part in W.chunked(b.column(2)):
+                for p, q in zip(_all_sets(part), _all_sets(b.column(3).slice(i, len(part))), strict=True):
                     n = len(np.intersect1d(p, q, assume_unique=True))
                     keep.append(n > 0 and n >= similarity * (len(p) + len(q) - n))
             yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])

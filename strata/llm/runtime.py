@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch that goes to Python; texts of a few kB make batches of a few MB.
-ARROW_ROWS = 1000
+#: Rows and bytes in an Arrow batch that goes to Python.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -42,6 +42,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     shared(spark)
     return spark
 
