@@ -10,8 +10,8 @@ windows exactly.
 Documents are dealt to parts of a few MB by a hash of doc_id. A part settles its
 own repeats. Between parts:
 
-1. each part names its distinct minimisers; those of one part only are dropped,
-   as no window of theirs can be in another part;
+1. each part names the upper halves of its distinct minimisers; those of one part
+   only are dropped, as no window of theirs can be in another part;
 2. each part sends its distinct super-k-mers of the remaining minimisers with
    the smallest doc_id that has them, so however many copies a text has, a part
    sends it once and a bucket holds it at most once for each part;
@@ -20,9 +20,9 @@ own repeats. Between parts:
 4. each part marks the words of its windows and takes them out.
 
 The shuffled documents are one exchange, read by steps 1, 2 and 4. Windows are
-compared by 128-bit hashes. Null and empty texts have no words; a row whose
-doc_id is null is neither smaller than another nor changed; rows that share a
-doc_id don't repeat each other.
+compared by 128-bit hashes, and told to the parts by 96 bits of them. Null and
+empty texts have no words; a row whose doc_id is null is neither smaller than
+another nor changed; rows that share a doc_id don't repeat each other.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ from strata.llm import words as W
 from strata.llm.runtime import after, chunks_for, lean, parts, prepare
 
 K, M = 13, 5
+HALF = np.uint64(32)
 PART_BYTES = 6 << 20
 PART = "_strata_part"
 
@@ -102,7 +103,7 @@ def _name_minimisers(t: pa.Table, k: int) -> pa.Table:
     for i, text in _texts(t):
         x = _Windows(W.of(text), k, usable[i : i + len(text)])
         got.append(np.unique(x.mini))
-    mini = np.unique(np.concatenate(got)).view(np.int64)
+    mini = np.unique(np.concatenate(got) >> HALF).view(np.int64)
     return pa.table({"mini": mini, PART: pa.array(np.full(len(mini), t[PART][0].as_py(), np.int64))})
 
 
@@ -120,8 +121,8 @@ def _send(t: pa.Table, wanted: pa.Table, k: int) -> pa.Table:
         if not len(a):
             continue
         m = x.mini[a]
-        at = np.minimum(np.searchsorted(want, m), len(want) - 1)
-        hit = want[at] == m
+        at = np.minimum(np.searchsorted(want, m >> HALF), len(want) - 1)
+        hit = want[at] == m >> HALF
         a, z, m = a[hit], z[hit], m[hit]
         s, e = w.start[x.at[a]], w.end[x.at[z] + k - 1]
         # texts come in order of doc_id, so the first of equal strings has the smallest
@@ -145,7 +146,7 @@ def _count(batch: pa.Table, k: int) -> pa.RecordBatch:
     new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
     least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(new) else doc
     late = doc > least
-    out = [owner[late], h1[late].view(np.int64), h2[late].view(np.int64), least[late]]
+    out = [owner[late], h1[late].view(np.int64), (h2[late] >> HALF).view(np.int64), least[late]]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in out], [PART, "h1", "h2", "least"])
 
 
@@ -200,7 +201,7 @@ def _settle(t: pa.Table, told: pa.Table, k: int, names: list[str], types: list[p
         once[1:] = g1[1:] != g1[:-1]
         g1, g2, low = g1[once], g2[once], low[once]
         j = np.minimum(np.searchsorted(g1, h1), len(g1) - 1)
-        hit = (g1[j] == h1) & (g2[j] == h2)
+        hit = (g1[j] == h1) & (g2[j] == h2 >> HALF)
         least = np.where(hit, np.minimum(least, low[j]), least)
     gone = at[doc > least]
     edge = np.zeros(base + 1, np.int32)
