@@ -134,7 +134,7 @@ def _candidates(texts: DataFrame, every: bool) -> DataFrame:
         if held:
             yield flush(*[np.concatenate(c) for c in zip(*held, strict=True)])
 
-    keys = texts.select("id", "fps").mapInArrow(lean(file), "key long, fp long, id long")
+    keys = texts.select("id", "fps").mapInArrow(lean(file, "golay"), "key long, fp long, id long")
     return keys.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(lean(meet), "a long, b long").distinct()
 
 

@@ -36,11 +36,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm import words as W
-from strata.llm.runtime import lean, plain, prepare, table
+from strata.llm.runtime import CACHES, lean, plain, prepare, table
 
 CAPACITY, END = 4096, 1
 CACHE_PIECES, LEARN = 1_000_000, 4096
 _ENCODERS: dict[str, Encoder] = {}
+CACHES["encoder"] = _ENCODERS.clear
 
 
 class Encoder:
@@ -142,7 +143,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return plain(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
+    return plain(docs, "doc_id", "text").mapInArrow(lean(run, "encoder"), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), in the order of their places

@@ -80,8 +80,15 @@ def plain(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def release() -> None:
-    """Give free memory back to the system; allocators keep it, and a Python worker lives on after its task."""
+#: What modules keep in a Python worker from task to task, and how to drop it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def release(keep: str = "") -> None:
+    """Drop all caches but one, and give free memory back to the system: a Python worker lives on after its task, and allocators keep what is freed."""
+    for name, drop in CACHES.items():
+        if name != keep:
+            drop()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
@@ -94,14 +101,15 @@ def after(result: pa.Table) -> pa.Table:
     return result
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run for mapInArrow, which releases memory when its task ends."""
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, which releases memory when its task begins and ends. keep: the cache that it uses."""
 
     @functools.wraps(run)
     def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keep)
         try:
             yield from run(batches)
         finally:
-            release()
+            release(keep)
 
     return lean_run

@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from strata.llm import golay
 from strata.llm import words as W
 from strata.llm.components import components
-from strata.llm.runtime import lean, parts, plain, prepare, table
+from strata.llm.runtime import CACHES, lean, parts, plain, prepare, table
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 MAX_BITS = 3
+CACHES["golay"] = golay.decode_table.cache_clear
 _BYTE = np.array([sum((b >> i & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
 
@@ -173,7 +174,7 @@ def links(prints: DataFrame, fp: str) -> DataFrame:
         if key:
             yield flush(np.concatenate(key), np.concatenate(fp))
 
-    keys = prints.select(F.col(fp).alias("fp")).distinct().mapInArrow(lean(file), "key long, fp long")
+    keys = prints.select(F.col(fp).alias("fp")).distinct().mapInArrow(lean(file, "golay"), "key long, fp long")
     met = keys.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(lean(meet), "a long, b long")
     return met.distinct()
 

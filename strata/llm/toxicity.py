@@ -33,6 +33,7 @@ from strata.llm import words as W
 from strata.llm.runtime import lean, plain, prepare, release, table
 
 SAMPLE, FEATURES, BITS, SIZES, DENSITY = 20_000, 2048, 20, (4, 6, 7), (1500, 700, 350)
+CHUNK = 250_000  # bytes of text at once; every byte begins a few grams of 8 bytes
 SPACE_SIZE = (1 + len(DENSITY)) << BITS
 THRESHOLD, RIDGE, FAIR, ROUNDS, LEAST = 0.3, 1e-3, 1.0, 200, 6
 #: Terms of one row stand in for each other.
@@ -77,14 +78,17 @@ def _buckets(b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield n, (h >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def _present(texts: pa.Array, column: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) pairs, each once, by text. column: what each feature is in a model, or -1; else all features as they are.
+Lookup = tuple[np.ndarray, np.ndarray]  # of each feature its place in a model or -1, and of each bucket whether any of its features has one
+
+
+def _present(texts: pa.Array, lookup: Lookup | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) pairs, each once, by text. lookup: of a model; else all features as they are.
 
     Feature bucket + level * 2**BITS says that the bucket's grams come at least
     once (level 0), or at least once in DENSITY[level - 1] bytes of the text.
     """
     b, offs = _lowered(texts)
-    wanted = None if column is None else (column.reshape(-1, 1 << BITS) >= 0).any(axis=0)
+    column, wanted = lookup or (None, None)
     keys = [np.zeros(0, np.int64)]
     for n, bucket in _buckets(b):
         at = np.arange(len(bucket)) if wanted is None else np.flatnonzero(wanted[bucket])
@@ -112,13 +116,13 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def column(self) -> np.ndarray:
-        c = np.full(SPACE_SIZE, -1, np.int32)
+    def lookup(self) -> Lookup:
+        c = np.full(SPACE_SIZE, -1, np.int16)
         c[self.buckets] = np.arange(len(self.buckets))
-        return c
+        return c, (c.reshape(-1, 1 << BITS) >= 0).any(axis=0)
 
-    def scores(self, texts: pa.Array, column: np.ndarray) -> np.ndarray:
-        doc, f = _present(texts, column)
+    def scores(self, texts: pa.Array, lookup: Lookup) -> np.ndarray:
+        doc, f = _present(texts, lookup)
         return 1 / (1 + np.exp(-(np.bincount(doc, self.weights[f], len(texts)) + self.bias)))
 
 
@@ -202,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float =
         n = np.zeros((2, SPACE_SIZE), np.int32)
         for b in batches:
             y = b.column(1).to_numpy()
-            for i, part in W.chunked(b.column(0)):
+            for i, part in W.chunked(b.column(0), CHUNK):
                 doc, f = _present(part)
                 hit = y[i : i + len(part)][doc] > 0
                 np.add.at(n[0], f[~hit], 1)
@@ -223,18 +227,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float =
     model = Model(np.array([r["bucket"] for r in best], np.int64), np.zeros(len(best)), 0.0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        column = model.column()
+        lookup = model.lookup()
         find = regex.compile(r"\b\L<t>\b", t=[t for row in terms for t in row])
         for b in batches:
             y = b.column(1).to_numpy()
-            for i, part in W.chunked(b.column(0)):
-                doc, f = _present(part, column)
+            for i, part in W.chunked(b.column(0), CHUNK):
+                doc, f = _present(part, lookup)
                 edges = np.searchsorted(doc, np.arange(len(part) + 1)).astype(np.int32)
                 yield _rows(0, y[i : i + len(part)], edges, f, np.ones(len(f)))
                 swaps = [s for x in part.to_pylist() if x for s in _swaps(x, terms, find)]
                 if swaps:
-                    a, fa = _present(pa.array([s for s, _ in swaps]), column)
-                    z, fz = _present(pa.array([s for _, s in swaps]), column)
+                    a, fa = _present(pa.array([s for s, _ in swaps]), lookup)
+                    z, fz = _present(pa.array([s for _, s in swaps]), lookup)
                     which, f, sign = np.concatenate([a, z]), np.concatenate([fa, fz]), np.repeat([1.0, -1.0], [len(a), len(z)])
                     o = np.argsort(which, kind="stable")
                     edges = np.searchsorted(which[o], np.arange(len(swaps) + 1)).astype(np.int32)
@@ -273,9 +277,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        column = m.column()
+        lookup = m.lookup()
         for b in batches:
-            s = [m.scores(part, column) for _, part in W.chunked(b.column(at))]
+            s = [m.scores(part, lookup) for _, part in W.chunked(b.column(at), CHUNK)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(s) if s else np.zeros(0))], names)
 
     from pyspark.sql import types as T
