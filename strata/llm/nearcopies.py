@@ -88,7 +88,7 @@ def _near(fp: np.ndarray, ident: np.ndarray, every: bool) -> tuple[np.ndarray, b
 
 
 def _candidates(texts: DataFrame, every: bool) -> DataFrame:
-    """(a, b): close pairs of texts (id, fps), a < b; a row of equal ends says that a text was in a crowded run."""
+    """(a, b, crowded): close pairs of texts (id, fps), a < b; crowded: of a run that didn't give all of its pairs."""
     n = parts(texts.sparkSession)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,16 +110,15 @@ def _candidates(texts: DataFrame, every: bool) -> DataFrame:
             got = []
             two = begin[size == 2]
             near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= simhash.MAX_BITS
-            got.append(np.stack([ident[two][near], ident[two + 1][near]]))
+            got.append(np.stack([ident[two][near], ident[two + 1][near], np.zeros(near.sum(), np.int64)]))
             for at, m in zip(begin[size > 2], size[size > 2], strict=True):
                 pairs, crowded = _near(fp[at : at + m], ident[at : at + m], every)
-                got.append(pairs)
-                if crowded:
-                    got.append(np.stack([ident[at : at + m]] * 2))
-            a = np.sort(np.concatenate(got, axis=1), axis=0)
+                got.append(np.vstack([pairs, np.full((1, pairs.shape[1]), int(crowded))]))
+            a = np.concatenate(got, axis=1)
+            a[:2] = np.sort(a[:2], axis=0)
             a = a[:, np.lexsort(a)]
             a = a[:, np.concatenate([[True], (a[:, 1:] != a[:, :-1]).any(axis=0)])] if a.shape[1] else a
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in a.astype(np.int64)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a[0])), pa.array(np.ascontiguousarray(a[1])), pa.array(a[2] > 0)], ["a", "b", "crowded"])
 
         held, size = [], 0
         for b in batches:
@@ -135,7 +134,7 @@ def _candidates(texts: DataFrame, every: bool) -> DataFrame:
             yield flush(*[np.concatenate(c) for c in zip(*held, strict=True)])
 
     keys = texts.select("id", "fps").mapInArrow(lean(file, "golay"), "key long, fp long, id long")
-    return keys.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(lean(meet), "a long, b long").distinct()
+    return keys.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(lean(meet), "a long, b long, crowded boolean").distinct()
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
@@ -178,23 +177,21 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, views: int = VIEWS)
     alive, found = classes.where(F.size("sketch") > 0), equal
     for left in reversed(range(ROUNDS)):
         met = table(_candidates(alive, every=not left), "met")
-        sets = met.where("a <> b").groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("a"))  # a text is in few keys, and a run gives it a few others
-        if left:
-            many, half = F.size("a") > PAIRS, PAIRS // 2
-            pairs = sets.select(F.explode(F.when(many, F.concat(F.slice("a", 1, half), F.slice("a", -half, half))).otherwise(F.col("a"))).alias("a"), "b")
-            again = met.where("a = b").select(F.col("a").alias("id")).unionByName(sets.where(many).select(F.explode(F.concat("a", F.array("b"))).alias("id")))
-            again = table(again.distinct(), "again")
-        else:
-            pairs = met.where("a <> b")
-        pairs = table(pairs, "pairs")
+        sets = table(met.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("a")), "sets")  # a text is in few keys, and a run gives it a few others
+        many, half = F.size("a") > PAIRS, PAIRS // 2
+        tried = F.when(many, F.concat(F.slice("a", 1, half), F.slice("a", -half, half))).otherwise(F.col("a")) if left else F.col("a")
+        pairs = table(sets.select(F.explode(tried).alias("a"), "b"), "pairs")
         # a text that no pair names is not carried along
-        named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        named = table(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct(), "named")
         bodies = own.withColumnRenamed("doc_id", "id").join(named, "id").dropDuplicates(["id"])
         copies = _verify(pairs, alive.join(named, "id"), bodies, similarity)
         found = found.unionByName(copies)
-        if not left or again.isEmpty():
+        crowd = met.where("crowded")
+        if not left or crowd.isEmpty() and sets.where(many).isEmpty():
             break
-        gone = components(copies, "a", "b").where("node <> root").select(F.col("node").alias("id"))
+        gone = table(components(copies, "a", "b").where("node <> root").select(F.col("node").alias("id")), "gone")
+        open_ = sets.where(many).join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select(F.explode(F.concat("a", F.array("b"))).alias("id"))
+        again = crowd.select(F.col("a").alias("id")).distinct().union(crowd.select("b").distinct()).union(open_).distinct()
         alive = table(alive.join(again, "id", "left_semi").join(gone, "id", "left_anti"), "alive")
     return components(found, "a", "b").select(F.col("node").alias("doc_id"), F.col("root").alias("group"))
 
