@@ -11,8 +11,9 @@ the mark, and the rest by their whole shingle sets.
 A key's run of up to RUN texts gives all its close pairs. A longer one gives a
 spanning forest of them and each text's neighbours by id, and is crowded; and of
 more than PAIRS smaller candidates a text is held against the first and last.
-Texts of crowded runs or with more candidates that were not yet found to copy a
-smaller text go round again, and the last round takes all close pairs of every run.
+Texts of crowded runs or with more candidates go round again, found copies too,
+with the roots of the groups found so far: only pairs of two groups are left to
+compare, and the last round takes all of them. So groups are those of all candidates.
 
 Texts without words have no near copies. A row whose doc_id is null is kept.
 """
@@ -71,25 +72,30 @@ def _prints(docs: DataFrame, views: int) -> DataFrame:
     return docs.mapInArrow(lean(run), "doc_id long, digest binary, fps array<long>, sketch array<long>")
 
 
-def _near(fp: np.ndarray, ident: np.ndarray, every: bool) -> tuple[np.ndarray, bool]:
-    """Close pairs of one key's run in order of id, and whether it was crowded."""
+def _near(fp: np.ndarray, ident: np.ndarray, root: np.ndarray, every: bool) -> tuple[np.ndarray, bool]:
+    """Close pairs of two roots in one key's run in order of id, and whether it was crowded."""
     n = len(fp)
+    value, of, size = np.unique(root, return_inverse=True, return_counts=True)
+    if len(value) == 1:
+        return np.zeros((2, 0), np.int64), False
     if every or n <= RUN:
-        out = []
-        for i in range(n - 1):
-            j = np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= simhash.MAX_BITS) + i + 1
+        out, most = [], of == size.argmax()  # pairs of the largest group's own are not looked at
+        for i in np.flatnonzero(~most):
+            j = np.flatnonzero((np.bitwise_count(fp ^ fp[i]) <= simhash.MAX_BITS) & (root != root[i]) & (most | (np.arange(n) > i)))
             out.append(np.stack([np.full(len(j), ident[i]), ident[j]]))
         return np.concatenate(out, axis=1), False
     pairs = simhash.forest(fp)
     for step in range(1, STEPS + 1):
         j = np.flatnonzero(np.bitwise_count(fp[step:] ^ fp[:-step]) <= simhash.MAX_BITS)
         pairs += list(zip(j.tolist(), (j + step).tolist(), strict=True))
+    pairs = [(a, b) for a, b in pairs if root[a] != root[b]]
     return (np.stack([ident[[a for a, _ in pairs]], ident[[b for _, b in pairs]]]) if pairs else np.zeros((2, 0), np.int64)), bool(pairs)
 
 
 def _candidates(texts: DataFrame, every: bool) -> DataFrame:
-    """(a, b, crowded): close pairs of texts (id, fps), a < b; crowded: of a run that didn't give all of its pairs."""
+    """(a, b, crowded): close pairs of texts (id, fps), a < b; crowded: of a run that didn't give all of its pairs. Where texts have a root, of two roots."""
     n = parts(texts.sparkSession)
+    root = ["root"] if "root" in texts.columns else []
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,21 +104,22 @@ def _candidates(texts: DataFrame, every: bool) -> DataFrame:
             for v in range(fps.shape[1]):
                 fp = fps[:, v].copy()
                 r, k = simhash.golay_keys(fp.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(k | v << 26), pa.array(fp[r]), pa.array(ident[r])], ["key", "fp", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(k | v << 26), pa.array(fp[r]), pa.array(ident[r]), *[b.column(c).take(pa.array(r)) for c in range(2, b.num_columns)]], ["key", "fp", "id", *root])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(key, fp, ident):
+        def flush(key, fp, ident, root=None):
+            root = ident if root is None else root
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
-            key, fp, ident = key[new], fp[new].view(np.uint64), ident[new]
+            key, fp, ident, root = key[new], fp[new].view(np.uint64), ident[new], root[new]
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
             size = np.diff(np.append(begin, len(key)))
             got = []
             two = begin[size == 2]
-            near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= simhash.MAX_BITS
+            near = (np.bitwise_count(fp[two] ^ fp[two + 1]) <= simhash.MAX_BITS) & (root[two] != root[two + 1])
             got.append(np.stack([ident[two][near], ident[two + 1][near], np.zeros(near.sum(), np.int64)]))
             for at, m in zip(begin[size > 2], size[size > 2], strict=True):
-                pairs, crowded = _near(fp[at : at + m], ident[at : at + m], every)
+                pairs, crowded = _near(fp[at : at + m], ident[at : at + m], root[at : at + m], every)
                 got.append(np.vstack([pairs, np.full((1, pairs.shape[1]), int(crowded))]))
             a = np.concatenate(got, axis=1)
             a[:2] = np.sort(a[:2], axis=0)
@@ -133,7 +140,7 @@ def _candidates(texts: DataFrame, every: bool) -> DataFrame:
         if held:
             yield flush(*[np.concatenate(c) for c in zip(*held, strict=True)])
 
-    keys = texts.select("id", "fps").mapInArrow(lean(file, "golay"), "key long, fp long, id long")
+    keys = texts.select("id", "fps", *root).mapInArrow(lean(file, "golay"), ", ".join(f"{c} long" for c in ["key", "fp", "id", *root]))
     return keys.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(lean(meet), "a long, b long, crowded boolean").distinct()
 
 
@@ -174,7 +181,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, views: int = VIEWS)
     classes = prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch"))
     classes = table(classes, "classes")
     equal = prints.select("doc_id", "digest").join(classes.select("digest", "id"), "digest").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    alive, found = classes.where(F.size("sketch") > 0), equal
+    alive, found = classes.where(F.size("sketch") > 0), None
     for left in reversed(range(ROUNDS)):
         met = table(_candidates(alive, every=not left), "met")
         sets = table(met.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("a")), "sets")  # a text is in few keys, and a run gives it a few others
@@ -185,14 +192,17 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, views: int = VIEWS)
         named = table(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct(), "named")
         bodies = own.withColumnRenamed("doc_id", "id").join(named, "id").dropDuplicates(["id"])
         copies = _verify(pairs, alive.join(named, "id"), bodies, similarity)
-        found = found.unionByName(copies)
+        found = copies if found is None else found.unionByName(copies)
         crowd = met.where("crowded")
         if not left or crowd.isEmpty() and sets.where(many).isEmpty():
             break
-        gone = table(components(copies, "a", "b").where("node <> root").select(F.col("node").alias("id")), "gone")
-        open_ = sets.where(many).join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select(F.explode(F.concat("a", F.array("b"))).alias("id"))
-        again = crowd.select(F.col("a").alias("id")).distinct().union(crowd.select("b").distinct()).union(open_).distinct()
-        alive = table(alive.join(again, "id", "left_semi").join(gone, "id", "left_anti"), "alive")
+        if left == ROUNDS - 1:  # the same texts meet in all later rounds: any of them may be another's only partner
+            open_ = sets.where(many).select(F.explode(F.concat("a", F.array("b"))).alias("id"))
+            again = crowd.select(F.col("a").alias("id")).distinct().union(crowd.select("b").distinct()).union(open_).distinct()
+            open_texts = table(alive.join(again, "id", "left_semi"), "open")
+        roots = components(found, "a", "b").withColumnRenamed("node", "id")
+        alive = table(open_texts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "alive")
+    found = equal.unionByName(found)
     return components(found, "a", "b").select(F.col("node").alias("doc_id"), F.col("root").alias("group"))
 
 

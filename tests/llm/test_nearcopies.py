@@ -66,6 +66,29 @@ def test_a_crowd_and_its_rounds(table, monkeypatch):
     assert got == {i: 0 for i in range(80)}
 
 
+def test_a_crowded_chain_is_that_of_all_pairs(table, monkeypatch):
+    """In a crowd of copies of copies, a text may be near to found copies only."""
+    monkeypatch.setattr(nearcopies, "RUN", 4)
+    monkeypatch.setattr(nearcopies, "PAIRS", 2)
+    rng, rows = random.Random(4), []
+    for g in range(4):
+        texts = [words(rng, 400).split()]
+        for i in range(60):
+            w = list(rng.choice(texts[-12:]))
+            for _ in range(5):
+                w[rng.randrange(400)] = f"edit{g}-{i}"
+            texts.append(w)
+        rows += [" ".join(w) for w in texts]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = found(table, rows)
+    monkeypatch.setattr(nearcopies, "RUN", 1000)
+    monkeypatch.setattr(nearcopies, "PAIRS", 1000)
+    assert got == found(table, rows)  # a crowd changes nothing
+    near, want = brute(rows)
+    assert sum(got.get(a, a) != got.get(b, b) for a, b in near) <= 0.01 * len(near) and len(near) > 300
+
+
 def test_keep_one(table, corpus):
     _, want = brute(corpus)
     kept = nearcopies.keep_one(table(corpus))
