@@ -3,8 +3,8 @@
 For filtering a corpus: two texts are near copies if the Jaccard similarity of
 their sets of SHINGLE-word shingles is at least SIMILARITY. Equal texts are one
 class by digest. A class has a SimHash of its distinct words for each of VIEWS
-hashes, and Golay-code keys of all of them bring candidates together; measured on
-the test tables, eight views bring every pair of that similarity within 3 bits.
+hashes, and Golay-code keys of all of them bring candidates together. That isn't
+exact: some pairs just above SIMILARITY are within 3 bits in none of the views.
 Candidates are compared by bottom-k sketches, which only drop pairs far below
 the mark, and the rest by their whole shingle sets.
 
