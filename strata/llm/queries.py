@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import chat, decontaminate, licenses, mpegts, packing, sharding, simhash, sql, substrings, toxicity, warc
-from strata.llm.runtime import lean
+from strata.llm.runtime import lean, table
 
 SHARDS, SHARD_SEED = 24, 20240607
 
@@ -74,7 +74,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    stored = mpegts.load(mpegts.store(read(spark, sf_dir, "documents")))
+    stored = mpegts.load(table(mpegts.store(read(spark, sf_dir, "documents")), "media"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -80,3 +80,8 @@ def test_query(spark, small):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
         assert (r["media_bytes"], r["media_sha256"]) == (len(ts), hashlib.sha256(ts).hexdigest())
         assert same.setdefault(raw, r["feature"]) == r["feature"]
+
+
+def test_streams_are_written_before_they_are_read(spark, small):
+    files = queries.op7_media(spark, small).inputFiles()
+    assert files and all("strata-media-" in f for f in files)
