@@ -24,11 +24,13 @@ rows.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,23 +41,75 @@ from strata.llm import words as W
 from strata.llm.runtime import CACHES, lean, plain, prepare, table
 
 CAPACITY, END = 4096, 1
-CACHE_PIECES, LEARN = 1_000_000, 4096
+CACHE_UNITS, LEARN = 2_000_000, 4096
+#: Fixed value: the pre-tokenizer's pattern whose matches never need to be looked at together.
+UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ENCODERS: dict[str, Encoder] = {}
 CACHES["encoder"] = _ENCODERS.clear
+_KIND = np.full(256, 3, np.uint8)  # 0 blank, 1 letter, 2 digit, 3 sign, 4 part of a wide character
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[48:58] = 2
+_KIND[128:] = 4
+
+
+class _Known:
+    """Units that were encoded: sorted hashes, each with its ids' place and number in a pool."""
+
+    def __init__(self):
+        self.base = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.late = self.base
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def __len__(self) -> int:
+        return len(self.base[0]) + len(self.late[0])
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, n = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int32)
+        for keys, places, sizes in (self.base, self.late):
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[i] == h
+                at[hit], n[hit] = places[i[hit]], sizes[i[hit]]
+        return at, n
+
+    def add(self, h: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool) // 2), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.late = _sorted(self.late, (h, self.used + np.cumsum(n) - n, n))
+        self.used += len(ids)
+        if len(self.late[0]) > max(50_000, len(self.base[0]) // 4):
+            self.base, self.late = _sorted(self.base, self.late), tuple(x[:0] for x in self.base)
+
+    def ids(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        stop = np.cumsum(n, dtype=np.int64)
+        return self.pool[np.repeat(at - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
 
 
 class Encoder:
-    """Token ids of many texts: a tokenizer that never looks across white space sees each distinct word once.
+    """Token ids of many texts: each distinct unit is encoded once.
 
-    Words are known by 64-bit hashes; after CACHE_PIECES of them the cache starts anew.
+    A unit is a word, as the tokenizers meant here never look across white space. Where the pre-tokenizer has the
+    pattern UNITS a word is cut further, at places where every match ends and no character composes with the
+    one before: before an ASCII digit, and where an ASCII sign and an ASCII letter or digit meet (a letter after an
+    apostrophe stays with it); and A-Z before an ASCII byte are folded where the normalizer folds. Words that may hold a
+    special token stay whole.
+
+    Units are known by 64-bit hashes, in two generations of CACHE_UNITS / 2: one that is met again moves to the
+    new generation, so a full cache forgets what is rare and not what is frequent.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE_UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
+        self.most, self.new, self.old, self.encoded = cache // 2, _Known(), _Known(), 0
+        told = json.loads(Path(path).read_text())
+        self.fine = json.dumps(UNITS) in json.dumps(told.get("pre_tokenizer"))
+        self.fold = '"Lowercase"' in json.dumps(told.get("normalizer"))
+        self.special = sorted({x["content"].lower().encode()[:2] for x in told.get("added_tokens") or [] if x["content"]})
 
     @staticmethod
     def at(path: str) -> Encoder:
@@ -63,54 +117,64 @@ class Encoder:
             _ENCODERS[path] = Encoder(path)
         return _ENCODERS[path]
 
-    def _clear(self) -> None:
-        self.base = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))  # hash, place in the pool, ids
-        self.late = self.base
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
-
-    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, n = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int32)
-        for keys, places, sizes in (self.base, self.late):
-            if len(keys):
-                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[i] == h
-                at[hit], n[hit] = places[i[hit]], sizes[i[hit]]
-        return at, n
+    def units(self, w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes, first and last + 1 of each unit, and the first unit of each word and one more."""
+        if not self.fine or not len(w.start):
+            return w.buf, w.start, w.end, np.arange(len(w.start) + 1)
+        buf, kind = w.buf, _KIND[w.buf]
+        before, was = np.zeros_like(kind), np.full_like(buf, 32)
+        before[1:], was[1:] = kind[:-1], buf[:-1]
+        cut = (kind == 2) | ((kind < 4) & (before < 4) & (kind != before) & ((was != 39) | (kind != 1)))
+        low = W.FOLD[buf]
+        fold = np.full(len(buf), self.fold)
+        fold[:-1] &= buf[1:] < 128
+        for x in self.special:
+            hit = low == x[0]
+            if len(x) > 1:
+                hit[:-1] &= low[1:] == x[1]
+            for i in np.unique(np.searchsorted(w.start, np.flatnonzero(hit), "right") - 1).tolist():
+                cut[w.start[i] : w.end[i]] = fold[w.start[i] : w.end[i]] = False
+        buf = np.where(fold, low, buf)
+        cut &= kind != 0
+        cut[w.start] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(buf))
+        end -= buf[end - 1] == 32
+        return buf, start, end, np.append(np.searchsorted(start, w.start), len(start))
 
     def _learn(self, h: np.ndarray, texts: list[str]) -> None:
-        sizes = []
         for i in range(0, len(texts), LEARN):  # an encoding is a large object, so only so many at once
             got = [x.ids for x in self.tokenizer.encode_batch_fast(texts[i : i + LEARN], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, got), np.int32, len(got)))
-            ids = np.fromiter((i for x in got for i in x), np.uint32, int(sizes[-1].sum()))
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool) // 2), np.uint32)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-        n = np.concatenate(sizes)
-        self.late = _sorted(self.late, (h, self.used - n.sum() + np.cumsum(n) - n, n))
-        if len(self.late[0]) > max(100_000, len(self.base[0]) // 4):
-            self.base, self.late = _sorted(self.base, self.late), tuple(x[:0] for x in self.base)
+            n = np.fromiter(map(len, got), np.int32, len(got))
+            self.new.add(h[i : i + LEARN], np.fromiter((i for x in got for i in x), np.uint32, int(n.sum())), n)
+        self.encoded += len(texts)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each text's followed by END, and the number for each text."""
         w = W.of(texts)
-        distinct, first, which = np.unique(W.span_hash(w.buf, w.start, w.end), return_index=True, return_inverse=True)
-        if len(self.base[0]) + len(self.late[0]) + len(distinct) > CACHE_PIECES:
-            self._clear()
-        at, n = self._find(distinct)
+        buf, start, end, first_unit = self.units(w)
+        distinct, first, which = np.unique(W.span_hash(buf, start, end), return_index=True, return_inverse=True)
+        at, n = self.new.find(distinct)
         lost = np.flatnonzero(at < 0)
+        if len(self.new) + len(lost) > self.most:
+            self.new, self.old = _Known(), self.new
+            lost = np.arange(len(distinct))
         if len(lost):
-            buf = w.buf.tobytes()
-            a, b = w.start[first[lost]].tolist(), w.end[first[lost]].tolist()
-            self._learn(distinct[lost], [buf[i:j].decode() for i, j in zip(a, b, strict=True)])
-            at, n = self._find(distinct)
-        n_word, at_word = n[which].astype(np.int64), at[which]
-        total = np.concatenate([[0], np.cumsum(n_word)])
-        per = total[w.first[1:]] - total[w.first[:-1]] + 1
+            old_at, old_n = self.old.find(distinct[lost])
+            kept = old_at >= 0
+            self.new.add(distinct[lost[kept]], self.old.ids(old_at[kept], old_n[kept]), old_n[kept])
+            lost = lost[~kept]
+            if len(lost):
+                data = buf.tobytes()
+                self._learn(distinct[lost], [data[i:j].decode() for i, j in zip(start[first[lost]].tolist(), end[first[lost]].tolist(), strict=True)])
+            at, n = self.new.find(distinct)
+        n_unit = n[which].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(n_unit)])
+        edge = first_unit[w.first]
+        per = total[edge[1:]] - total[edge[:-1]] + 1
         ids = np.full(int(per.sum()), END, np.uint32)
-        to = np.repeat(w.doc(), n_word) + np.arange(total[-1])
-        ids[to] = self.pool[np.repeat(at_word - total[:-1], n_word) + np.arange(total[-1])]
+        to = np.arange(total[-1]) + np.repeat(np.arange(len(per)), per - 1)
+        ids[to] = self.new.ids(at[which], n_unit)
         return ids, per
 
 

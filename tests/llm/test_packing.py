@@ -1,8 +1,10 @@
 import functools
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -110,15 +112,40 @@ def test_token_ids_and_no_rows(table):
     assert r["ids"] == [*tokenizer().encode("hello there", add_special_tokens=False).ids, 1]
 
 
-def test_the_cache_may_start_anew(monkeypatch):
-    import pyarrow as pa
+def plain_ids(texts):
+    return [x for t in texts for x in [*tokenizer().encode(t, add_special_tokens=False).ids, 1]]
 
-    monkeypatch.setattr(packing, "CACHE_PIECES", 10)
-    e = packing.Encoder(queries.tokenizer_path())
+
+def test_a_full_cache_gives_the_same_ids():
+    e = packing.Encoder(queries.tokenizer_path(), cache=10)
     for i in range(5):
         texts = [f"word{i}{j} other{j}" for j in range(8)]
         ids, per = e.encode(pa.array(texts))
-        assert ids.tolist() == [x for t in texts for x in [*tokenizer().encode(t, add_special_tokens=False).ids, 1]] and per.sum() == len(ids)
+        assert ids.tolist() == plain_ids(texts) and per.sum() == len(ids)
+
+
+def test_a_full_cache_forgets_the_rare_words_only():
+    """Words that come again and again are encoded once, however many that come once pass by."""
+    rng = random.Random(2)
+    common = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    e = packing.Encoder(queries.tokenizer_path(), cache=2000)
+    rare = set()
+    for i in range(60):
+        own = ["".join(rng.choices("ijklmnop", k=9)) for _ in range(100)]
+        rare.update(own)
+        e.encode(pa.array([" ".join(common), " ".join(own)]))
+    assert len(rare) > 5 * 1000 and e.encoded <= 1.1 * (len(rare) + len(common))
+
+
+def test_units_give_the_tokenizer_s_ids():
+    """Words are cut where matches end, whatever stands beside the cut."""
+    rng = random.Random(5)
+    parts = ["a", "Z", "s", "t", "'", "'s", "'RE", "\u00e9", "E\u0301", "5", "42", "\u00b2", "\u2167", "-", "\u2014", "<|", "endoftext", "<|endoftext|>", "<|STARTOFTEXT|>", "<", ".", "I\u0307", "\u0130", "\u212a"]
+    parts += ["\u00df", "\u0338", "=", "\u20e3", "\u4e2d", "\U0001f600", " ", " ", " ", "\u00a0", "\u2003", "\n", "\u03a3", "_", "x'y", "'ll", "don't", "A\u030a", "\u200d", "\ufb01"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(8000)]
+    e = packing.Encoder(queries.tokenizer_path())
+    assert e.fine and e.fold
+    assert e.encode(pa.array(texts))[0].tolist() == plain_ids(texts)
 
 
 @pytest.mark.parametrize("capacity", [4096])
