@@ -1,24 +1,33 @@
 """Toxicity scores from a counterfactually regularised classifier.
 
 A logistic regression on the presence and density of hashed byte grams of the
-lower-cased text. Besides the log loss it pays for every labelled sentence that mentions a
-group: the sentence is written again with another identity term, and the square
+lower-cased text. Besides the log loss it pays for labelled sentences that mention a
+group: the sentence is written again with another term in its place, and the square
 of the change of its logit is penalised. A term that merely goes along with
 toxic examples then carries little weight, so neutral mentions aren't flagged.
 
+Terms stand in for each other within a row of the lexicon IDENTITY. A corpus may hold none of these, or
+others; so the labelled rows give neutral terms of their own, the TERMS most frequent words
+that both labels have about alike (ODDS), and those with one ending stand in for each other. A sentence
+with such a term also gives a pair of two lexicon terms in its place, so lexicon terms
+that no labelled sentence has are made even as well. Model.pairs counts the pairs.
+
 Fitting: of the labelled rows outside the held-out quarter, SAMPLE at most (those
 with the smallest hash of doc_id) give, in a distributed count over their whole
 texts, the FEATURES grams with the largest chi-square, and then their own sparse
-features; only these come to the driver (a few MB at any corpus size). Scoring
+features and those of SENTENCES sentences a text. Only these come to the driver: SAMPLE * (1 + 4 * SENTENCES) rows of
+at most FEATURES small numbers whatever the corpus's size, some 10 MB in practice. Scoring
 is a narrow pass over the whole texts of all documents.
 
 Null and empty texts get the score of a text with no grams. A null doc_id is not
-held out and has no label. Where rows of labels repeat a doc_id, toxic if any is.
+held out and has no label. Where rows of labels repeat a doc_id, toxic if any is; where documents do, the least text is learned.
 Without labels of both kinds every score is the smoothed prior.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +44,7 @@ from strata.llm.runtime import lean, plain, prepare, release, table
 SAMPLE, FEATURES, BITS, SIZES, DENSITY = 20_000, 2048, 20, (4, 6, 7), (1500, 700, 350)
 CHUNK = 250_000  # bytes of text at once; every byte begins a few grams of 8 bytes
 SPACE_SIZE = (1 + len(DENSITY)) << BITS
+TERMS, TERM_LETTERS, ODDS, SENTENCES = 256, 4, 0.7, 2
 THRESHOLD, RIDGE, FAIR, ROUNDS, LEAST = 0.3, 1e-3, 1.0, 200, 6
 #: Terms of one row stand in for each other.
 IDENTITY: tuple[tuple[str, ...], ...] = (
@@ -70,7 +80,7 @@ def _buckets(b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             m = len(v) - step
             if m <= 0:
                 return
-            v = v[:m] | (v[step:] & np.uint64((1 << 8 * step) - 1) if step < have else v[step:]) << np.uint64(8 * have)
+            v = v[:m] | v[step:] >> np.uint64(8 * (have - step)) << np.uint64(8 * have)  # the last `step` bytes of the later one
             have += step
         h = v * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n * 0xC2B2AE3D27D4EB4F % 2**64)
         h ^= h >> np.uint64(29)
@@ -115,6 +125,7 @@ class Model:
     buckets: np.ndarray
     weights: np.ndarray
     bias: float
+    pairs: int = 0  # swapped sentences that the penalty was over
 
     def lookup(self) -> Lookup:
         c = np.full(SPACE_SIZE, -1, np.int16)
@@ -126,18 +137,57 @@ class Model:
         return 1 / (1 + np.exp(-(np.bincount(doc, self.weights[f], len(texts)) + self.bias)))
 
 
-def _swaps(text: str, terms: tuple[tuple[str, ...], ...], find) -> list[tuple[str, str]]:
-    """(sentence, sentence with its identity terms replaced), two for each sentence that has a term."""
-    group = {t: row for row in terms for t in row}
-    out = []
-    for s in regex.split(r"[.!?\n]+", text.lower()):
-        if find.search(s):
-            for step in (1, 2):
-                other = find.sub(lambda m: (r := group[m[0]])[(r.index(m[0]) + step) % len(r)], s)  # noqa: B023
-                out.append((s, other))
+def _swaps(text: str, terms: tuple[tuple[str, ...], ...], find, derived: tuple[tuple[str, ...], ...] = ()) -> list[tuple[str, str]]:
+    """(sentence, sentence with its terms replaced), for the SENTENCES sentences of the smallest checksums that have a term, those of the lexicon first.
+
+    Two for a sentence with lexicon terms; one for another's derived terms, and one of two lexicon terms in their place.
+    """
+    known, own = {t: row for row in terms for t in row}, {t: row for row in derived for t in row}
+    out: list[tuple[str, str]] = []
+    left = SENTENCES
+    sentences = sorted((zlib.crc32(s.encode()), s) for s in set(regex.split(r"[.!?\n]+", text.lower())))
+    found = [(n, s, set(find.findall(s))) for n, s in sentences]
+    for n, s, has in sorted((x for x in found if x[2]), key=lambda x: (not x[2] & known.keys(), x[0])):
+        if not left:
+            break
+        left -= 1
+        group = known if has & known.keys() else own
+
+        def other(step: int) -> str:
+            return find.sub(lambda m: (r := group[m[0]])[(r.index(m[0]) + step) % len(r)] if m[0] in group else m[0], s)  # noqa: B023
+
+        out.append((s, other(1)))
+        if group is known:
+            out.append((s, other(2)))
+        elif terms:
+            row = terms[n % len(terms)]
+            a = row[n // len(terms) % len(row)]
+            b = row[(row.index(a) + 1) % len(row)]
+            out.append((find.sub(a, s, count=1), find.sub(b, s, count=1)))
     return out
 
 
+def _derived(rows: DataFrame, positive: int, total: int) -> tuple[tuple[str, ...], ...]:
+    """Neutral terms of labelled rows (text, toxic), in groups of one ending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = regex.compile(rf"\b\p{{L}}{{{TERM_LETTERS},24}}\b")
+        n: tuple[Counter, Counter] = (Counter(), Counter())
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n[y > 0].update(set(word.findall((x or "").lower())))
+        every = sorted(w for w in n[0].keys() | n[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([n[0][w] for w in every], pa.int64()), pa.array([n[1][w] for w in every], pa.int64())], ["word", "n0", "n1"])
+
+    n = rows.mapInArrow(lean(run), "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    odds = F.log((F.col("n1") + 0.5) / (positive + 1) / ((F.col("n0") + 0.5) / (total - positive + 1)))
+    few = n.where((F.col("n0") >= LEAST) & (F.col("n1") >= 2) & (F.abs(odds) <= ODDS)).orderBy((F.col("n0") + F.col("n1")).desc(), "word").limit(TERMS)
+    by: dict[str, list[str]] = defaultdict(list)
+    for r in few.collect():  # TERMS rows at most
+        by[r["word"][-2:]].append(r["word"])
+    return tuple(tuple(x) for x in by.values() if len(x) > 1)
+
+
 def _strips(edges: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows that have about `most` entries."""
     lo = 0
@@ -194,13 +244,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float = FAIR, terms: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
-    """A model from at most `sample` labelled documents outside the held-out quarter."""
+    """A model from at most `sample` labelled documents outside the held-out quarter. terms: the lexicon, in rows of at least two."""
     spark = prepare(docs.sparkSession)
     own = plain(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out())
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = plain(docs, "doc_id", "text")
     # `sample` rows of two numbers at most
-    rows = table(text.join(F.broadcast(own), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
+    rows = text.join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max(F.col("toxic").cast("int")).alias("toxic"))
+    rows = table(rows.select("text", "toxic"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, SPACE_SIZE), np.int32)
@@ -225,17 +276,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float =
     totals = rows.mapInArrow(lean(count), "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     best = totals.where(m >= LEAST).orderBy(chi.desc(), "bucket").limit(FEATURES).select("bucket").collect()
     model = Model(np.array([r["bucket"] for r in best], np.int64), np.zeros(len(best)), 0.0)
+    derived = _derived(rows, size["n1"], size["n"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = model.lookup()
-        find = regex.compile(r"\b\L<t>\b", t=[t for row in terms for t in row])
+        find = regex.compile(r"\b\L<t>\b", t=[t for row in (*terms, *derived) for t in row])
         for b in batches:
             y = b.column(1).to_numpy()
             for i, part in W.chunked(b.column(0), CHUNK):
                 doc, f = _present(part, lookup)
                 edges = np.searchsorted(doc, np.arange(len(part) + 1)).astype(np.int32)
                 yield _rows(0, y[i : i + len(part)], edges, f, np.ones(len(f)))
-                swaps = [s for x in part.to_pylist() if x for s in _swaps(x, terms, find)]
+                swaps = [s for x in part.to_pylist() if x for s in _swaps(x, terms, find, derived)]
                 if swaps:
                     a, fa = _present(pa.array([s for s, _ in swaps]), lookup)
                     z, fz = _present(pa.array([s for _, s in swaps]), lookup)
@@ -254,6 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float =
 
     edges, f, y, _ = part(0)
     pair_edges, pair_feature, _, sign = part(1)
+    model.pairs = len(pair_edges) - 1
     model.weights, model.bias = fit_features(edges, f, y, len(best), pair_edges, pair_feature, sign, fair)
     del got, f, pair_feature, sign
     release()

@@ -62,6 +62,51 @@ def test_swaps_change_identity_terms_only():
     assert len(got) == 4 and all(a != b and len(a.split()) == len(b.split()) for a, b in got) and not any("nothing" in a for a, _ in got)
 
 
+def test_derived_terms_give_pairs_too():
+    import regex
+
+    derived = (("garden", "wooden"),)
+    find = regex.compile(r"\b\L<t>\b", t=[t for row in (*toxicity.IDENTITY, *derived) for t in row])
+    (a, b), (c, d) = toxicity._swaps("A Garden is here. Nothing else", toxicity.IDENTITY, find, derived)
+    assert (a, b) == ("a garden is here", "a wooden is here") and any({c[2:-8], d[2:-8]} <= set(row) for row in toxicity.IDENTITY) and c != d
+
+
+def test_the_penalty_acts_on_the_test_tables(spark, small):
+    """Whatever the tables hold, sentences are swapped, and the weights follow."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    fair, free = toxicity.fit(docs, labels), toxicity.fit(docs, labels, fair=0.0)
+    assert fair.pairs == free.pairs > 100
+    assert (fair.buckets == free.buckets).all() and np.abs(fair.weights - free.weights).max() > 1e-3
+
+
+def _plain_features(text):
+    """Grams of one text by a plain loop: (bucket of a gram, how often it comes)."""
+    own = np.frombuffer(f" {(text or '').lower()} ".encode(), np.uint8).copy()
+    own[own < 48] = 32
+    times = {}
+    for n in toxicity.SIZES:
+        for i in range(len(own) - n + 1):
+            v = int.from_bytes(own[i : i + n].tobytes(), "little")
+            h = (v * 0x9E3779B97F4A7C15 + n * 0xC2B2AE3D27D4EB4F) % 2**64
+            h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64 >> (64 - toxicity.BITS)
+            times[h] = times.get(h, 0) + 1
+    return {h + (level << toxicity.BITS) for h, n in times.items() for level, d in enumerate((None, *toxicity.DENSITY)) if d is None or n * d >= len(own)}
+
+
+def test_features_and_scores_against_plain_loops(spark, small):
+    import pyarrow as pa
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = [r["text"] for r in docs.limit(12).collect()] + [None, "", "idiot", "x" * 300_000 + " idiot"]
+    doc, f = toxicity._present(pa.array(texts, pa.string()))
+    want = [_plain_features(x) for x in texts]
+    assert [set(f[doc == i].tolist()) for i in range(len(texts))] == want and len(f) == sum(map(len, want))
+    model = toxicity.fit(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    at = {b: w for b, w in zip(model.buckets.tolist(), model.weights.tolist(), strict=True)}
+    plain = [1 / (1 + np.exp(-(model.bias + sum(at.get(x, 0.0) for x in own)))) for own in want]
+    assert np.allclose(model.scores(pa.array(texts, pa.string()), model.lookup()), plain)
+
+
 def test_penalty_shrinks_the_change():
     edges, feature, y = np.array([0, 2, 3, 5, 6]), np.array([0, 1, 2, 0, 1, 2]), np.array([1.0, 0, 1, 0])
     pairs = np.array([0, 2]), np.array([1, 2]), np.array([1.0, -1.0])
