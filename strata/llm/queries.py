@@ -32,8 +32,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = warc.captures(read(spark, sf_dir, "pages"))  # in global order; which archive holds a page follows the input's splits
-    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "date")
+    merged = warc.captures(read(spark, sf_dir, "pages"))  # which archive holds a page follows the input's splits, the rank doesn't
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "date", "capture_rank")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

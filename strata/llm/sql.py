@@ -15,12 +15,13 @@ f as (select h, min(page_id) as first from p group by h),
 u as (select *, regexp_replace(lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)), '^www[.]', '') as host,
   regexp_replace(url, '^[^:/?#]+://[^/?#]*', '') as rest from p join f using (h)),
 v as (select *, regexp_extract(rest, '^([^?#]*)', 1) as path, regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1) as query from u)
+select *, row_number() over (order by url_key, date, page_id) - 1 as capture_rank from (
 select page_id, octet_length(encode(html))::bigint as payload_bytes, {_BASE32.format(h="h")} as payload_digest,
   case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to,
   lower(list_aggregate(list_reverse(string_split(host, '.')), 'string_agg', ',') || ')' || case when path = '' then '/' else path end
     || case when query = '' then '' else '?' || list_aggregate(list_sort(string_split(query, '&')), 'string_agg', '&') end) as url_key,
   strftime(timestamp '2024-01-01' + to_seconds(page_id % 2147483648), '%Y-%m-%dT%H:%M:%SZ') as date
-from v"""
+from v)"""
 
 SUBSTRINGS = f"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') as ws from documents),

@@ -27,7 +27,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.runtime import lean, parts, plain, prepare, table
@@ -105,9 +105,11 @@ def parsed(fields: dict[str, str], block: bytes) -> tuple:
 def write(pages: DataFrame) -> DataFrame:
     """(archive, content): all pages as archives in the shared folder."""
     prepare(pages.sparkSession)
-    own = plain(pages, "page_id", "url", "html").withColumn("sha1", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
+    own = plain(pages, "page_id", "url", "html").withColumn("sha1", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))))
     first = own.groupBy("sha1").agg(F.min("page_id").alias("first"))
-    told = own.join(first, "sha1").select("page_id", "url", "html", F.when(F.col("page_id") == F.col("first"), None).otherwise(F.col("first")).alias("first"))
+    # payloads don't go by their digest, which many may share, but by page and digest
+    ids = own.select("page_id", "sha1").distinct().join(first, "sha1").select(F.col("page_id").alias("page"), F.col("sha1").alias("sum"), "first")
+    told = own.join(ids, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("sha1") == F.col("sum"))).select("page_id", "url", "html", F.when(F.col("page_id") == F.col("first"), None).otherwise(F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -224,5 +226,11 @@ def merge(lines: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Archives written, read back, indexed, and the index merged."""
-    return merge(table(index(write(pages)), "runs"))
+    """Archives written, read back, indexed, and the index merged; capture_rank counts the lines in that order from 0."""
+    merged = table(merge(table(index(write(pages)), "runs")), "merged")
+    part = F.shiftright("capture_order", 40)
+    # a row for each range of RANGE_LINES lines
+    sizes = merged.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    sizes = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    rank = F.col("before") + F.col("capture_order").bitwiseAND((1 << 40) - 1)
+    return merged.join(sizes, part == F.col("part")).select(*merged.columns, rank.alias("capture_rank"))
