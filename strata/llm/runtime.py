@@ -48,10 +48,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, as in tests, one of our own, which a local master alone can have."""
     sc = spark.sparkContext
     jsc = sc._jsc.sc()
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and jsc.getCheckpointDir().isEmpty() and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if jsc.getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strata-checkpoint-"))
     return named or jsc.getCheckpointDir().get()
@@ -80,6 +82,17 @@ def plain(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of names that df doesn't have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 #: What modules keep in a Python worker from task to task, and how to drop it.
 CACHES: dict[str, Callable[[], None]] = {}
 

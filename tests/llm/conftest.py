@@ -8,7 +8,7 @@ settings.register_profile("slow", deadline=None, max_examples=60)  # the first e
 settings.load_profile("slow")
 DOCS = T.StructType().add("doc_id", "long").add("text", "string")
 #: Columns of other tables that must not get in the way.
-CLASHES = ["score", "kept", "n_words", "n_removed", "shard", "slot", "_bucket", "_place", "_mark", "_strata_part", "fp_0", "fingerprint", "component_id", "digest", "fps", "sketch", "id", "key", "label", "toxic", "length", "piece", "window", "words", "shingles", "hits"]
+CLASHES = ["score", "kept", "n_words", "n_removed", "shard", "slot", "_bucket", "_place", "_mark", "_at", "_before", "_all", "_n", "_number", "_strata_part", "fp_0", "fingerprint", "component_id", "digest", "fps", "sketch", "id", "key", "label", "toxic", "length", "piece", "window", "words", "shingles", "hits"]
 
 
 @pytest.fixture

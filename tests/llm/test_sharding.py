@@ -34,7 +34,8 @@ def plain(corpus):
 
 @pytest.mark.parametrize("shards", [1, 7, 24, 500])
 def test_law_of_rows(table, corpus, shards):
-    rows = placed(table(corpus, clash=False), shards).collect()
+    rows = placed(table(corpus), shards).collect()
+    assert {"_mark", "_at", "_before", "_all", "_n", "score"} < set(rows[0].asDict())
     assert plain((r["doc_id"], r["text"]) for r in rows) == plain(corpus)
     slots = {}
     for r in rows:
@@ -55,6 +56,31 @@ def test_shuffle_mixes(table):
     assert abs(np.corrcoef(by[:, 0] * 300 + by[:, 1], by[:, 2])[0, 1]) < 0.06
 
 
+def test_repeated_rows_fill_no_bucket(table):
+    """Ten thousand equal rows are spread like others, and the order still doesn't follow the input's files."""
+    rows = [(7, "same")] * 3000 + [(i, f"t{i}") for i in range(1000)]
+    size, got = F.octet_length("text") + 8, []
+    for parts in (1, 5):
+        cut = sharding.shuffled(table(rows, parts=parts), ["doc_id", "text"], size, 3, 5000, most=100)
+        counts = [r["count"] for r in cut.groupBy("_bucket").count().collect()]
+        assert sum(counts) == 4000 and max(counts) < 2.5 * np.mean(counts)
+        got.append(sorted((r["doc_id"], r["text"], r["shard"], r["slot"]) for r in sharding.place(cut, 7).collect()))
+    assert got[0] == got[1]
+
+
+def test_against_a_plain_two_pass_shuffle(spark, small):
+    """Shards and slots of the query are those of a shuffle of each bucket in turn."""
+    cut = queries.sharding.shuffled(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"), ["doc_id", "text"], F.octet_length("text") + 8, queries.SHARD_SEED).collect()
+    order = [(r["doc_id"]) for r in sorted(cut, key=lambda r: (r["_bucket"], r["_place"]))]
+    base, more = divmod(len(order), 24)
+    want, at = {}, 0
+    for shard in range(24):
+        for slot in range(base + (shard < more)):
+            want[order[at]] = (shard, slot)
+            at += 1
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in queries.op3_sharding(spark, small).collect()} == want
+
+
 def test_written_shards_are_in_slot_order(spark, table, corpus, tmp_path):
     path = str(tmp_path / "shards")
     sharding.write_shards(placed(table(corpus, clash=False), 3), path)
