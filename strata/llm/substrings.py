@@ -10,17 +10,21 @@ windows exactly.
 Documents are dealt to parts of a few MB by a hash of doc_id. A part settles its
 own repeats. Between parts:
 
-1. each part names the upper halves of its distinct minimisers; those of one part
-   only are dropped, as no window of theirs can be in another part;
+1. each part names the upper halves of its distinct minimisers and how many
+   windows have them; those of one part only are dropped, as no window of theirs
+   can be in another part. A minimiser is counted from one row of 20 bytes a part;
 2. each part sends its distinct super-k-mers of the remaining minimisers with
    the smallest doc_id that has them, so however many copies a text has, a part
-   sends it once and a bucket holds it at most once for each part;
+   sends it once and a bucket holds it at most once for each part. Where all parts
+   together have more windows of a minimiser than a SHARE-th of a shuffle partition,
+   its bucket is divided by the windows' hashes, and its windows travel one by one;
 3. a bucket sorts its windows and tells each part the smallest doc_id of those
    that another part has in a smaller one;
 4. each part marks the words of its windows and takes them out.
 
 The shuffled documents are one exchange, read by steps 1, 2 and 4. Windows are
-compared by 128-bit hashes, and told to the parts by 96 bits of them. Null and
+compared by 128-bit hashes, and told to the parts by 96 bits of them; a part knows
+the strings that it has sent by 64 bits. Null and
 empty texts have no words; a row whose doc_id is null is neither smaller than
 another nor changed; rows that share a doc_id don't repeat each other.
 """
@@ -41,8 +45,9 @@ from strata.llm.runtime import after, chunks_for, lean, parts, prepare
 
 K, M = 13, 5
 HALF = np.uint64(32)
-PART_BYTES = 6 << 20
+PART_BYTES, BUCKET_BYTES, SHARE = 6 << 20, 1 << 20, 16
 PART = "_strata_part"
+WORD_BYTES = 7  # about
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -99,20 +104,26 @@ def _texts(t: pa.Table) -> Iterator[tuple[int, pa.Array]]:
 
 
 def _name_minimisers(t: pa.Table, k: int) -> pa.Table:
-    usable, got = _usable(t), []
+    usable, got, times = _usable(t), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for i, text in _texts(t):
         x = _Windows(W.of(text), k, usable[i : i + len(text)])
-        got.append(np.unique(x.mini))
-    mini = np.unique(np.concatenate(got) >> HALF).view(np.int64)
-    return pa.table({"mini": mini, PART: pa.array(np.full(len(mini), t[PART][0].as_py(), np.int64))})
+        m, n = np.unique(x.mini >> HALF, return_counts=True)
+        got.append(m)
+        times.append(n)
+    mini, of = np.unique(np.concatenate(got), return_inverse=True)
+    n = np.bincount(of, np.concatenate(times), len(mini)).astype(np.int64)
+    return pa.table({"mini": mini.view(np.int64), PART: pa.array(np.full(len(mini), t[PART][0].as_py(), np.int64)), "n": n})
 
 
-def _send(t: pa.Table, wanted: pa.Table, k: int) -> pa.Table:
+def _send(t: pa.Table, wanted: pa.Table, k: int, most: int) -> pa.Table:
+    """Strings for the buckets; most: windows that a bucket may have before it is divided."""
     empty = pa.schema([("mini", pa.int64()), (PART, pa.int64()), ("low", pa.int64()), ("packed", pa.binary())]).empty_table()
     if not len(t) or not len(wanted):
         return empty
     t = _by_id(t)
-    want = np.sort(wanted["mini"].to_numpy().view(np.uint64))
+    want, n = wanted["mini"].to_numpy().view(np.uint64), wanted["n"].to_numpy()
+    order = np.argsort(want)
+    want, pieces = want[order], (-(-n[order] // most)).astype(np.uint64)
     usable, ids, out, seen = _usable(t), pc.fill_null(t["doc_id"], 0).to_numpy(), [], np.zeros(0, np.uint64)
     for i, text in _texts(t):
         w = W.of(text)
@@ -123,10 +134,20 @@ def _send(t: pa.Table, wanted: pa.Table, k: int) -> pa.Table:
         m = x.mini[a]
         at = np.minimum(np.searchsorted(want, m >> HALF), len(want) - 1)
         hit = want[at] == m >> HALF
-        a, z, m = a[hit], z[hit], m[hit]
+        a, z, m, cut = a[hit], z[hit], m[hit], pieces[at[hit]]
+        if (big := cut > 1).any():
+            one = np.repeat(a[big] - np.cumsum(z[big] - a[big] + 1) + (z[big] - a[big] + 1), z[big] - a[big] + 1)
+            one += np.arange(len(one))
+            piece = x.h1[one] % np.repeat(cut[big], z[big] - a[big] + 1)
+            # a bucket that another falls together with is no harm
+            m = np.concatenate([m[~big], W.mix(x.mini[one] ^ W.mix(piece + np.uint64(1)))])
+            a, z = np.concatenate([a[~big], one]), np.concatenate([z[~big], one])
         s, e = w.start[x.at[a]], w.end[x.at[z] + k - 1]
+        h = W.span_hash(w.buf, s, e) ^ m * np.uint64(3)
         # texts come in order of doc_id, so the first of equal strings has the smallest
-        h, first = np.unique(W.span_hash(w.buf, s, e) ^ m * np.uint64(3), return_index=True)
+        order = np.lexsort((a, h))
+        first = order[np.concatenate([[True], h[order][1:] != h[order][:-1]])] if len(h) else order
+        h = h[first]
         new = ~np.isin(h, seen, assume_unique=True)
         h, first = h[new], first[new]
         seen = np.concatenate([seen, h])
@@ -154,17 +175,14 @@ def _whole_buckets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
+            mini = b.column(0).to_numpy()
+            cut = int(np.searchsorted(mini, mini[-1])) if len(mini) else 0
+            if size + b.nbytes >= BUCKET_BYTES and (cut or held and held[-1].column(0)[-1].as_py() != mini[0]):  # the last bucket may go on
+                yield _count(pa.Table.from_batches([*held, b.slice(0, cut)]), k)
+                held, size = [], 0
+                b = b.slice(cut)
             held.append(b)
             size += b.nbytes
-            if size < 3 << 20:
-                continue
-            t = pa.Table.from_batches(held)
-            mini = t["mini"].to_numpy()
-            cut = int(np.searchsorted(mini, mini[-1]))
-            if cut:
-                yield _count(t.slice(0, cut), k)
-                held = t.slice(cut).combine_chunks().to_batches()
-                size = sum(x.nbytes for x in held)
         if held:
             yield _count(pa.Table.from_batches(held), k)
 
@@ -176,40 +194,44 @@ def _settle(t: pa.Table, told: pa.Table, k: int, names: list[str], types: list[p
         return pa.table([pa.array([], x) for x in types], names)
     t = _by_id(t)
     usable, ids = _usable(t), pc.fill_null(t["doc_id"], 0).to_numpy()
-    held, h1, h2, doc, at = [], [], [], [], []
-    base = 0
+    rank = np.concatenate([[0], np.cumsum(ids[1:] != ids[:-1])]).astype(np.int32)
+    held, cols, base = [], [[], [], [], []], 0
     for i, text in _texts(t):
         w = W.of(text)
         x = _Windows(w, k, usable[i : i + len(text)], minimisers=False)
-        held.append((i, text, w, base))
-        h1.append(x.h1)
-        h2.append(x.h2)
-        doc.append(ids[i + x.doc])
-        at.append(x.at + base)
+        held.append((text, w, base))
+        for c, v in zip(cols, (x.h1, (x.h2 >> HALF).astype(np.uint32), (i + x.doc).astype(np.int32), (x.at + base).astype(np.int32)), strict=True):
+            c.append(v)
         base += len(w.start)
-    h1, h2, doc, at = (np.concatenate(c) for c in (h1, h2, doc, at))
+        del x
+    h1, h2, doc, at = (np.concatenate(c) for c in cols)
+    del cols
     order = np.argsort(h1, kind="stable")  # within one hash still in order of doc_id
     h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
+    del order
     new = np.ones(len(h1), bool)
     new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(new) else doc
+    late = rank[doc] > rank[doc[np.flatnonzero(new)]][np.cumsum(new) - 1] if len(new) else new
+    del new
     if len(told) and len(h1):
-        g1, g2, low = told["h1"].to_numpy().view(np.uint64), told["h2"].to_numpy().view(np.uint64), told["least"].to_numpy()
+        g1, g2, low = told["h1"].to_numpy().view(np.uint64), told["h2"].to_numpy().astype(np.uint32), told["least"].to_numpy()
         o = np.lexsort((low, g2, g1))
         g1, g2, low = g1[o], g2[o], low[o]
         once = np.ones(len(g1), bool)
         once[1:] = g1[1:] != g1[:-1]
         g1, g2, low = g1[once], g2[once], low[once]
         j = np.minimum(np.searchsorted(g1, h1), len(g1) - 1)
-        hit = (g1[j] == h1) & (g2[j] == h2 >> HALF)
-        least = np.where(hit, np.minimum(least, low[j]), least)
-    gone = at[doc > least]
+        late |= (g1[j] == h1) & (g2[j] == h2) & (low[j] < ids[doc])
+        del j
+    gone = at[late]
+    del h1, h2, doc, at, late
     edge = np.zeros(base + 1, np.int32)
     np.add.at(edge, gone, 1)
     np.add.at(edge, np.minimum(gone + k, base), -1)
     keep = np.cumsum(edge[:-1]) == 0
-    n_words, n_removed, kept, text_out = [], [], [], []
-    for _, text, w, b in held:
+    del gone, edge
+    n_words, n_removed, kept = [], [], []
+    for text, w, b in held:
         own = keep[b : b + len(w.start)]
         left = np.concatenate([[0], np.cumsum(own)])
         n = w.counts
@@ -221,9 +243,8 @@ def _settle(t: pa.Table, told: pa.Table, k: int, names: list[str], types: list[p
         joined = [data[p : max(p, q - 1)] for p, q in zip(a.tolist(), z.tolist(), strict=True)]
         n_words.append(n)
         n_removed.append(n - rest)
-        kept += joined
-        text_out.append(text)
-    extra = {"n_words": pa.array(np.concatenate(n_words)), "n_removed": pa.array(np.concatenate(n_removed)), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
+        kept.append(pa.array(joined, pa.binary()).cast(pa.string()))
+    extra = {"n_words": pa.array(np.concatenate(n_words)), "n_removed": pa.array(np.concatenate(n_removed)), "kept": pa.chunked_array(kept, pa.string())}
     return pa.table([extra[n] if n in extra else t[n] for n in names], names)
 
 
@@ -232,13 +253,14 @@ def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     spark = prepare(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "kept", PART).withColumn("doc_id", F.col("doc_id").cast("long"))
     n = chunks_for(docs, F.coalesce(F.octet_length("text"), F.lit(0)), PART_BYTES)
+    most = max(512, n * PART_BYTES // (WORD_BYTES * SHARE * parts(spark)))
     # a null doc_id says nothing of a row, so its text deals it out
     dealt = docs.withColumn(PART, F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n)))
     by_part = dealt.groupBy(PART)
-    mini = by_part.applyInArrow(lambda t: after(_name_minimisers(t, k)), f"mini long, {PART} long")
-    shared_by = F.count("*").over(Window.partitionBy("mini"))
-    wanted = mini.withColumn("n", shared_by).where("n > 1").select("mini", PART)
-    sent = by_part.cogroup(wanted.groupBy(PART)).applyInArrow(lambda a, b: after(_send(a, b, k)), f"mini long, {PART} long, low long, packed binary")
+    mini = by_part.applyInArrow(lambda t: after(_name_minimisers(t, k)), f"mini long, {PART} long, n long")
+    same = Window.partitionBy("mini")  # a row a part
+    wanted = mini.select("mini", PART, F.sum("n").over(same).alias("n"), F.count("*").over(same).alias("parts")).where("parts > 1").select("mini", PART, "n")
+    sent = by_part.cogroup(wanted.groupBy(PART)).applyInArrow(lambda a, b: after(_send(a, b, k, most)), f"mini long, {PART} long, low long, packed binary")
     buckets = sent.repartition(parts(spark), "mini").sortWithinPartitions("mini")
     told = buckets.mapInArrow(lean(_whole_buckets(k)), f"{PART} long, h1 long, h2 long, least long")
     out = T.StructType([f for f in dealt.schema.fields if f.name != PART]).add("n_words", "long").add("n_removed", "long").add("kept", "string")

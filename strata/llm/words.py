@@ -194,7 +194,7 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, np.minimum(a + k, w.first[1:][doc]) - 1, doc
 
 
-def chunked(texts: pa.Array, limit: int = 1_000_000):
+def chunked(texts: pa.Array, limit: int = 500_000):
     """Slices of an array of texts, about limit bytes each (one text at least)."""
     if not len(texts):
         return
