@@ -8,12 +8,18 @@ exact: some pairs just above SIMILARITY are within 3 bits in none of the views.
 Candidates are compared by bottom-k sketches, which only drop pairs far below
 the mark, and the rest by their whole shingle sets.
 
-A key's run of up to RUN texts gives all its close pairs. A longer one gives a
-spanning forest of them and each text's neighbours by id, and is crowded; and of
-more than PAIRS smaller candidates a text is held against the first and last.
-Texts of crowded runs or with more candidates go round again, found copies too,
-with the roots of the groups found so far: only pairs of two groups are left to
-compare, and the last round takes all of them. So groups are those of all candidates.
+A key's run of up to RUN texts gives all its close pairs. A longer one is a crowd,
+and its texts are open: each is only paired with the HUB, the text nearest to the
+run's majority, which in a crowd of edited copies is likely the copies' origin. The
+first view is searched before the others, where texts that are open already aren't
+paired with each other. Of more than PAIRS smaller candidates a text is held against
+those met in most runs, and is open with all of them.
+
+What that leaves out is found exactly then. Open texts, linked or not, are first held
+against the hubs of their MINIMA smallest shingle hashes: of the texts that share one,
+that with the most common shingles. Then they are joined on the shingles of their prefixes, the rarest fifth of their shingles and one more, as
+any two sets of that similarity share one of these; only pairs of two groups are
+compared. So a crowd loses no link.
 
 Texts without words have no near copies. A row whose doc_id is null is kept.
 """
@@ -33,7 +39,10 @@ from strata.llm import words as W
 from strata.llm.components import components
 from strata.llm.runtime import lean, parts, plain, prepare, table
 
-SHINGLE, SIMILARITY, VIEWS, SKETCH, RUN, STEPS, PAIRS, ROUNDS = 5, 0.8, 8, 64, 16, 2, 12, 3
+SHINGLE, SIMILARITY, VIEWS, SKETCH, RUN, PAIRS = 5, 0.8, 12, 64, 16, 12
+MINIMA, COUNTERS = 4, 18  # bits of a shingle's hash that name its counter
+WIDE = 2048
+HELD = 200_000  # rows or pairs that a task has at once
 _MARGIN = 0.25  # over 4 standard errors of a sketch
 
 
@@ -72,30 +81,122 @@ def _prints(docs: DataFrame, views: int) -> DataFrame:
     return docs.mapInArrow(lean(run), "doc_id long, digest binary, fps array<long>, sketch array<long>")
 
 
-def _near(fp: np.ndarray, ident: np.ndarray, root: np.ndarray, every: bool) -> tuple[np.ndarray, bool]:
-    """Close pairs of two roots in one key's run in order of id, and whether it was crowded."""
+def _near(fp: np.ndarray, ident: np.ndarray, is_open: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Close pairs in one key's run, and whether it is a crowd; of a crowd a pair with the hub, or with itself, for each text that isn't open."""
     n = len(fp)
-    value, of, size = np.unique(root, return_inverse=True, return_counts=True)
-    if len(value) == 1:
-        return np.zeros((2, 0), np.int64), False
-    if every or n <= RUN:
-        out, most = [], of == size.argmax()  # pairs of the largest group's own are not looked at
-        for i in np.flatnonzero(~most):
-            j = np.flatnonzero((np.bitwise_count(fp ^ fp[i]) <= simhash.MAX_BITS) & (root != root[i]) & (most | (np.arange(n) > i)))
-            out.append(np.stack([np.full(len(j), ident[i]), ident[j]]))
-        return np.concatenate(out, axis=1), False
-    pairs = simhash.forest(fp)
-    for step in range(1, STEPS + 1):
-        j = np.flatnonzero(np.bitwise_count(fp[step:] ^ fp[:-step]) <= simhash.MAX_BITS)
-        pairs += list(zip(j.tolist(), (j + step).tolist(), strict=True))
-    pairs = [(a, b) for a, b in pairs if root[a] != root[b]]
-    return (np.stack([ident[[a for a, _ in pairs]], ident[[b for _, b in pairs]]]) if pairs else np.zeros((2, 0), np.int64)), bool(pairs)
-
-
-def _candidates(texts: DataFrame, every: bool) -> DataFrame:
-    """(a, b, crowded): close pairs of texts (id, fps), a < b; crowded: of a run that didn't give all of its pairs. Where texts have a root, of two roots."""
+    if n <= RUN:
+        i, j = np.triu_indices(n, 1)
+        good = (np.bitwise_count(fp[i] ^ fp[j]) <= simhash.MAX_BITS) & ~(is_open[i] & is_open[j])
+        return np.stack([ident[i[good]], ident[j[good]]]), False
+    own = np.flatnonzero(~is_open)
+    if n <= WIDE:  # in a larger one all are taken to be close to some
+        own = own[[(np.bitwise_count(fp ^ fp[i]) <= simhash.MAX_BITS).sum() > 1 for i in own]]
+    hub = np.bitwise_count(fp ^ simhash.majority(fp, np.array([n]))).argmin()
+    to = np.where(np.bitwise_count(fp[own] ^ fp[hub]) <= simhash.MAX_BITS, hub, own)
+    return np.stack([ident[to], ident[own]]), True
+
+
+def _met(got: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows (a, b, crowded, runs) of a <= b, each once: runs is how often the pair was met."""
+    a = np.concatenate(got, axis=1) if got else np.zeros((3, 0), np.int64)
+    low, high, crowded = np.minimum(a[0], a[1]), np.maximum(a[0], a[1]), a[2] > 0
+    order = np.lexsort((low, high))
+    low, high, crowded = low[order], high[order], crowded[order]
+    at = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(low) else np.zeros(0, int)
+    some = np.logical_or.reduceat(crowded, at) if len(at) else crowded
+    return pa.RecordBatch.from_arrays([pa.array(low[at]), pa.array(high[at]), pa.array(some), pa.array(np.diff(np.append(at, len(low))))], ["a", "b", "crowded", "runs"])
+
+
+def _meet(key: np.ndarray, fp: np.ndarray, ident: np.ndarray, is_open: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The close pairs in whole runs of keys, sorted by key and id."""
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
+    key, fp, ident, is_open = key[new], fp[new].view(np.uint64), ident[new], is_open[new]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+    size = np.diff(np.append(begin, len(key)))
+    two = begin[size == 2]
+    near = (np.bitwise_count(fp[two] ^ fp[two + 1]) <= simhash.MAX_BITS) & ~(is_open[two] & is_open[two + 1])
+    got = [np.stack([ident[two][near], ident[two + 1][near], np.zeros(near.sum(), np.int64)])]
+    have = 0
+    for at, m in zip(begin[size > 2], size[size > 2], strict=True):
+        pairs, crowded = _near(fp[at : at + m], ident[at : at + m], is_open[at : at + m])
+        got.append(np.vstack([pairs, np.full((1, pairs.shape[1]), int(crowded))]))
+        have += pairs.shape[1]
+        if have >= HELD:
+            yield _met(got)
+            got, have = [], 0
+    yield _met(got)
+
+
+def _whole_runs(flush):
+    """flush(columns) over whole runs of the first column, some HELD rows at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            key = b.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if size + len(key) >= HELD and (cut or held and held[-1][0][-1] != key[0]):  # the last key may go on
+                yield from flush(*[np.concatenate(c) for c in zip(*held, [c[:cut] for c in columns], strict=True)])
+                held, size = [], 0
+                columns = [c[cut:] for c in columns]
+            if len(columns[0]):
+                held.append(columns)
+                size += len(columns[0])
+        if held:
+            yield from flush(*[np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return run
+
+
+def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, crowded, runs) sorted by b and a, each once, with tried: to be compared, and many: b has over PAIRS smaller candidates.
+
+    A text's pair with itself only says that it is open.
+    """
+
+    def rows(b: np.ndarray, a: np.ndarray, crowded: np.ndarray, tried: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, crowded, tried, many)], ["a", "b", "crowded", "tried", "many"])
+
+    def whole(b: np.ndarray, a: np.ndarray, crowded: np.ndarray, runs: np.ndarray, more: bool) -> pa.RecordBatch:
+        order = np.lexsort((a, -runs, a == b, b))
+        b, a, crowded = b[order], a[order], crowded[order]
+        begin = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        size = np.diff(np.append(begin, len(b)))
+        many = np.add.reduceat(a != b, begin) > PAIRS
+        many[0] |= more
+        return rows(b, a, crowded, (np.arange(len(b)) - np.repeat(begin, size) < PAIRS) & (a != b), np.repeat(many, size))
+
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)]  # of the last b
+    more = False  # some of its pairs went before
+    for x in batches:
+        b, a, crowded, runs = (np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, (x.column(1), x.column(0), x.column(2), x.column(3)), strict=True))
+        if not len(b):
+            continue
+        order = np.lexsort((a, b))
+        b, a, crowded, runs = b[order], a[order], crowded[order], runs[order]
+        at = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (a[1:] != a[:-1])]))
+        b, a, crowded, runs = b[at], a[at], np.logical_or.reduceat(crowded, at), np.add.reduceat(runs, at)
+        cut = int(np.searchsorted(b, b[-1]))
+        if cut:
+            yield whole(b[:cut], a[:cut], crowded[:cut], runs[:cut], more)
+            more = False
+        b, a, crowded, runs = b[cut:], a[cut:], crowded[cut:], runs[cut:]
+        if len(b) > 4 * PAIRS:  # of any number only the best are kept
+            order = np.lexsort((a, -runs, a == b))
+            rest, best = order[2 * PAIRS :], order[: 2 * PAIRS]
+            yield rows(b[rest], a[rest], crowded[rest], np.zeros(len(rest), bool), np.ones(len(rest), bool))
+            b, a, crowded, runs = b[best], a[best], crowded[best], runs[best]
+            more = True
+        held = [b, a, crowded, runs]
+    if len(held[0]):
+        yield whole(*held, more)
+
+
+def _candidates(texts: DataFrame) -> DataFrame:
+    """(a, b, crowded, tried, many): close pairs of texts (id, fps, open), a <= b; crowded: of a run that didn't give all of its pairs."""
     n = parts(texts.sparkSession)
-    root = ["root"] if "root" in texts.columns else []
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,44 +205,124 @@ def _candidates(texts: DataFrame, every: bool) -> DataFrame:
             for v in range(fps.shape[1]):
                 fp = fps[:, v].copy()
                 r, k = simhash.golay_keys(fp.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(k | v << 26), pa.array(fp[r]), pa.array(ident[r]), *[b.column(c).take(pa.array(r)) for c in range(2, b.num_columns)]], ["key", "fp", "id", *root])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(key, fp, ident, root=None):
-            root = ident if root is None else root
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
-            key, fp, ident, root = key[new], fp[new].view(np.uint64), ident[new], root[new]
-            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-            size = np.diff(np.append(begin, len(key)))
-            got = []
-            two = begin[size == 2]
-            near = (np.bitwise_count(fp[two] ^ fp[two + 1]) <= simhash.MAX_BITS) & (root[two] != root[two + 1])
-            got.append(np.stack([ident[two][near], ident[two + 1][near], np.zeros(near.sum(), np.int64)]))
-            for at, m in zip(begin[size > 2], size[size > 2], strict=True):
-                pairs, crowded = _near(fp[at : at + m], ident[at : at + m], root[at : at + m], every)
-                got.append(np.vstack([pairs, np.full((1, pairs.shape[1]), int(crowded))]))
-            a = np.concatenate(got, axis=1)
-            a[:2] = np.sort(a[:2], axis=0)
-            a = a[:, np.lexsort(a)]
-            a = a[:, np.concatenate([[True], (a[:, 1:] != a[:, :-1]).any(axis=0)])] if a.shape[1] else a
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a[0])), pa.array(np.ascontiguousarray(a[1])), pa.array(a[2] > 0)], ["a", "b", "crowded"])
+                yield pa.RecordBatch.from_arrays([pa.array(k | v << 26), pa.array(fp[r]), pa.array(ident[r]), b.column(2).take(pa.array(r))], ["key", "fp", "id", "open"])
 
-        held, size = [], 0
+    keys = texts.select("id", "fps", "open").mapInArrow(lean(file, "golay"), "key long, fp long, id long, open boolean")
+    met = keys.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(lean(_whole_runs(_meet)), "a long, b long, crowded boolean, runs long")
+    return met.repartition(n, "b").sortWithinPartitions("b", "a").mapInArrow(lean(_pick), "a long, b long, crowded boolean, tried boolean, many boolean")
+
+
+def _open(met: DataFrame) -> DataFrame:
+    some = met.where("crowded or many")
+    return some.select(F.col("a").alias("id")).distinct().union(some.select("b").distinct()).distinct()
+
+
+def _apart(similarity: float):
+    """Pairs of two roots in runs of one shingle that may be similar; a < b.
+
+    Where the run's shingle is the first that two sets share, no more than what follows in both can be common. So
+    pairs with too little left are dropped: the run of their first one has them, if any has.
+    """
+
+    def flush(shingle: np.ndarray, ident: np.ndarray, root: np.ndarray, size: np.ndarray, left: np.ndarray) -> Iterator[pa.RecordBatch]:
+        begin = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+        mixed = np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin)
+        got, have = [np.zeros((2, 0), np.int64)], 0
+        for at, end in zip(begin[mixed], np.append(begin[1:], len(shingle))[mixed], strict=True):
+            own, r, n, more = ident[at:end], root[at:end], size[at:end], left[at:end]
+            _, of, times = np.unique(r, return_inverse=True, return_counts=True)
+            most = of == times.argmax()  # pairs of the largest group's own are not looked at
+            later = np.arange(len(own))
+            for i in np.flatnonzero(~most):
+                j = np.flatnonzero((r != r[i]) & (most | (later > i)) & (np.minimum(more, more[i]) * (1 + similarity) >= similarity * (n + n[i]) - 1e-6))
+                got.append(np.sort(np.stack([np.full(len(j), own[i]), own[j]]), axis=0))
+                have += len(j)
+                if have >= HELD:
+                    yield _once(got)
+                    got, have = [], 0
+        yield _once(got)
+
+    return flush
+
+
+def _once(got: list[np.ndarray]) -> pa.RecordBatch:
+    a = np.unique(np.concatenate(got, axis=1), axis=1) if got else np.zeros((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in a], ["a", "b"])
+
+
+def _hubs(similarity: float):
+    """Pairs with the text of the best score, in runs of one key, where roots differ and sizes allow the similarity."""
+
+    def flush(key: np.ndarray, ident: np.ndarray, root: np.ndarray, size: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((ident, -score, key))
+        key, ident, root, size = key[order], ident[order], root[order], size[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        hub = np.flatnonzero(new)[np.cumsum(new) - 1]
+        good = (root != root[hub]) & (np.minimum(size, size[hub]) >= similarity * np.maximum(size, size[hub]))
+        yield _once([np.sort(np.stack([ident[good], ident[hub[good]]]), axis=0)])
+
+    return flush
+
+
+def _counters(texts: DataFrame) -> np.ndarray:
+    """How many texts have a shingle, for each of 2**COUNTERS groups of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << COUNTERS, np.int64)
         for b in batches:
-            held.append([c.to_numpy() for c in b.columns])
-            size += len(b)
-            if size >= 200_000:
-                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-                cut = int(np.searchsorted(cols[0], cols[0][-1]))
-                if cut:
-                    yield flush(*[c[:cut] for c in cols])
-                held, size = [[c[cut:] for c in cols]], len(cols[0]) - cut if cut else 0
-        if held:
-            yield flush(*[np.concatenate(c) for c in zip(*held, strict=True)])
+            for _, part in W.chunked(b.column(0)):
+                n += np.bincount(np.concatenate([_counter(x) for x in _shingle_sets(part)]), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["counter", "n"])
+
+    rows = texts.select("text").mapInArrow(lean(run), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # 2**COUNTERS rows
+    count = np.zeros(1 << COUNTERS, np.int64)
+    count[rows["counter"].to_numpy()] = rows["n"].to_numpy()
+    return count
+
+
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - COUNTERS)).astype(np.int64)
+
+
+def _linking(texts: DataFrame, count, similarity: float) -> DataFrame:
+    """(a, b): of texts (id, root, text), pairs of two roots with hubs, MINIMA for each text at most; count: a broadcast of _counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.log2(count.value + 1.0)
+        salts = W.mix(np.arange(1, MINIMA + 1, dtype=np.uint64))
+        for b in batches:
+            for i, part in W.chunked(b.column(2)):
+                sets = _shingle_sets(part)
+                keys = np.array([[W.mix(x ^ s).min() ^ s for s in salts] for x in sets], np.uint64).reshape(-1)
+                of = np.repeat(np.arange(len(sets)), MINIMA)
+                size, score = np.array([len(x) for x in sets]), np.array([often[_counter(x)].mean() for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(0).take(pa.array(of + i)), b.column(1).take(pa.array(of + i)), pa.array(size[of]), pa.array(score[of])], ["key", "id", "root", "size", "score"])
+
+    rows = texts.select("id", "root", "text").mapInArrow(lean(run), "key long, id long, root long, size long, score double")
+    runs = rows.repartition(parts(texts.sparkSession), "key").sortWithinPartitions("key")
+    return runs.mapInArrow(lean(_whole_runs(_hubs(similarity))), "a long, b long").distinct()
+
+
+def _rest(texts: DataFrame, count, similarity: float) -> DataFrame:
+    """(a, b): of texts (id, root, text), every pair of two roots that may be similar, by prefix filtering; a < b."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = count.value
+        for b in batches:
+            for i, part in W.chunked(b.column(2)):
+                sets = _shingle_sets(part)
+                size = np.array([len(x) for x in sets])
+                # any fixed order of all shingles is right; the rarest first give the fewest pairs
+                own = [x[np.lexsort((x, often[_counter(x)]))[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1]] for x in sets]
+                per = np.array([len(x) for x in own])
+                of = np.repeat(np.arange(len(sets)), per)
+                left = size[of] - (np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), b.column(0).take(pa.array(of + i)), b.column(1).take(pa.array(of + i)), pa.array(size[of]), pa.array(left)], ["shingle", "id", "root", "size", "left"])
 
-    keys = texts.select("id", "fps", *root).mapInArrow(lean(file, "golay"), ", ".join(f"{c} long" for c in ["key", "fp", "id", *root]))
-    return keys.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(lean(meet), "a long, b long, crowded boolean").distinct()
+    prefix = texts.select("id", "root", "text").mapInArrow(lean(prefixes), "shingle long, id long, root long, size long, left long")
+    runs = prefix.repartition(parts(texts.sparkSession), "shingle").sortWithinPartitions("shingle", "id")
+    return runs.mapInArrow(lean(_whole_runs(_apart(similarity))), "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
@@ -181,29 +362,30 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, views: int = VIEWS)
     classes = prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch"))
     classes = table(classes, "classes")
     equal = prints.select("doc_id", "digest").join(classes.select("digest", "id"), "digest").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    alive, found = classes.where(F.size("sketch") > 0), None
-    for left in reversed(range(ROUNDS)):
-        met = table(_candidates(alive, every=not left), "met")
-        sets = table(met.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("a")), "sets")  # a text is in few keys, and a run gives it a few others
-        many, half = F.size("a") > PAIRS, PAIRS // 2
-        tried = F.when(many, F.concat(F.slice("a", 1, half), F.slice("a", -half, half))).otherwise(F.col("a")) if left else F.col("a")
-        pairs = table(sets.select(F.explode(tried).alias("a"), "b"), "pairs")
-        # a text that no pair names is not carried along
-        named = table(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct(), "named")
-        bodies = own.withColumnRenamed("doc_id", "id").join(named, "id").dropDuplicates(["id"])
-        copies = _verify(pairs, alive.join(named, "id"), bodies, similarity)
-        found = copies if found is None else found.unionByName(copies)
-        crowd = met.where("crowded")
-        if not left or crowd.isEmpty() and sets.where(many).isEmpty():
-            break
-        if left == ROUNDS - 1:  # the same texts meet in all later rounds: any of them may be another's only partner
-            open_ = sets.where(many).select(F.explode(F.concat("a", F.array("b"))).alias("id"))
-            again = crowd.select(F.col("a").alias("id")).distinct().union(crowd.select("b").distinct()).union(open_).distinct()
-            open_texts = table(alive.join(again, "id", "left_semi"), "open")
-        roots = components(found, "a", "b").withColumnRenamed("node", "id")
-        alive = table(open_texts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "alive")
-    found = equal.unionByName(found)
-    return components(found, "a", "b").select(F.col("node").alias("doc_id"), F.col("root").alias("group"))
+    alive = classes.where(F.size("sketch") > 0)
+    first = table(_candidates(alive.select("id", F.slice("fps", 1, 1).alias("fps"), F.lit(False).alias("open"))), "met")
+    crowds = table(_open(first), "crowds")
+    others = alive.select("id", F.slice("fps", 2, views).alias("fps")).join(crowds.withColumn("open", F.lit(True)), "id", "left")
+    second = table(_candidates(others.withColumn("open", F.coalesce("open", F.lit(False)))), "met")
+    pairs = first.where("tried").select("a", "b").union(second.where("tried").select("a", "b")).distinct()
+    copies = equal.unionByName(_compared(pairs, alive, own, similarity))
+    roots = components(copies, "a", "b")
+    ids = crowds.union(_open(second)).distinct()
+    if not ids.isEmpty():
+        texts = table(own.withColumnRenamed("doc_id", "id").join(ids, "id").dropDuplicates(["id"]).select("id", "text"), "open")
+        count = docs.sparkSession.sparkContext.broadcast(_counters(texts))
+        for pairs_of in (_linking, _rest):
+            rooted = texts.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "text")
+            more = _compared(table(pairs_of(rooted, count, similarity), "rest"), alive, own, similarity)
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b")
+    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("group"))
+
+
+def _compared(pairs: DataFrame, classes: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """The similar ones of pairs; a text that no pair names is not carried along."""
+    named = table(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct(), "named")
+    bodies = own.withColumnRenamed("doc_id", "id").join(named, "id").dropDuplicates(["id"])
+    return _verify(pairs, classes.join(named, "id"), bodies, similarity)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
