@@ -272,13 +272,18 @@ def _counters(texts: DataFrame) -> np.ndarray:
         for b in batches:
             for _, part in W.chunked(b.column(0)):
                 n += np.bincount(np.concatenate([_counter(x) for x in _shingle_sets(part)]), minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["counter", "n"])
-
-    rows = texts.select("text").mapInArrow(lean(run), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # 2**COUNTERS rows
-    count = np.zeros(1 << COUNTERS, np.int64)
-    count[rows["counter"].to_numpy()] = rows["n"].to_numpy()
-    return count
+        strips = n.reshape(-1, 4096)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(strips))), pa.array([x.tobytes() for x in strips], pa.binary())], ["strip", "n"])
+
+    def add(t: pa.Table) -> pa.Table:
+        n = sum(np.frombuffer(x.as_buffer(), np.int64) for x in t["n"])
+        return pa.table({"strip": t["strip"].slice(0, 1), "n": pa.array([n.tobytes()], pa.binary())})
+
+    rows = texts.select("text").mapInArrow(lean(run), "strip long, n binary").groupBy("strip").applyInArrow(add, "strip long, n binary").collect()  # 2**COUNTERS numbers
+    count = np.zeros((1 << COUNTERS) // 4096 * 4096, np.int64).reshape(-1, 4096)
+    for r in rows:
+        count[r["strip"]] = np.frombuffer(r["n"], np.int64)
+    return count.reshape(-1)
 
 
 def _counter(shingles: np.ndarray) -> np.ndarray:
