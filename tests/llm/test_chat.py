@@ -77,6 +77,35 @@ def test_read_back_and_odd_rows(spark):
     assert chat.windows(table(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("system", [0, 100, 1200, 8000])
+def test_the_budget_is_the_window_s(spark, system):
+    """System turn, history and span together keep the budget, but in windows that say they don't."""
+    rng = random.Random(system)
+    rows = [(1, 0, "system", "s" * system)] * bool(system) + [(1, i, "user" if i % 2 else "assistant", "<|\\" * rng.randrange(3) + "x" * rng.randrange(1200)) for i in range(1, 60)]
+    rows += [(2, i, "user", "y" * n) for i, n in enumerate((10, 9000, 10))]
+    made = chat.windows(table(spark, rows)).collect()
+    cost = {}
+    for c, i, r, t in rows:
+        cost.setdefault((c, len(t), r == "system"), 0)
+    for w in made:
+        estimate = sum(-(-(t["chars"] - len("<|im_start|>\n<|im_end|>\n") - len(w["text"][t["start"] + 12 : w["text"].index("\n", t["start"])])) // 4) + 3 for t in w["turns"])
+        assert w["tokens"] == estimate and w["over"] == (estimate > chat.TARGET)
+        assert not w["over"] or w["conv_id"] == 2 or system == 8000
+    assert any(w["over"] for w in made if w["conv_id"] == 2)
+
+
+def test_the_estimate_is_near_the_tokenizer_s(spark, small):
+    """Of the tables' turns together; single texts of odd signs may lie further off."""
+    from tokenizers import Tokenizer
+
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{small}/conversations.parquet").collect()]
+    own = Tokenizer.from_file(queries.tokenizer_path())
+    real = sum(len(own.encode(t, add_special_tokens=False).ids) for t in texts)
+    guess = sum(-(-len(t) // 4) for t in texts)
+    print(guess / real)
+    assert 0.5 < guess / real < 2
+
+
 def test_native():
     import inspect
 
