@@ -25,6 +25,8 @@ from strata.llm.runtime import plain
 
 SHINGLE, BANDS, SIMILARITY, TEMPLATES_MAX = 5, 16, 0.8, 1000
 _SIGNS = ",;:()[]{}\"'!?*#"
+_STOPS = r"[.]+([ \t-\r]|\z)"  # full stops at the end of a word
+#: Notices and grants as their licences word them.
 NOTICES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -33,6 +35,26 @@ NOTICES: dict[str, str] = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     "BSD-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+    "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+    "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
+    "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+    "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+    "Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+    "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+    "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission "
+    "notice appear in all copies.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either "
+    "version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either "
+    "version 3 of the License, or (at your option) any later version.",
+    "LGPL-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "BSL-1.0-text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
 
 
@@ -42,7 +64,8 @@ def _held(df: DataFrame, name: str, made: Column) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.btrim(F.translate(F.lower(F.coalesce(text, F.lit(""))), _SIGNS, " " * len(_SIGNS)), F.lit(" \t\n\v\f\r")), r"[ \t-\r]+")
+    clean = F.btrim(F.translate(F.lower(F.coalesce(text, F.lit(""))), _SIGNS, " " * len(_SIGNS)), F.lit(" \t\n\v\f\r"))
+    return F.split(F.btrim(F.regexp_replace(clean, _STOPS, "$1"), F.lit(" \t\n\v\f\r")), r"[ \t-\r]+")
 
 
 def _shingles(words: Column) -> Column:
@@ -84,6 +107,8 @@ def find_notices(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFram
         raise ValueError(f"1 to {TEMPLATES_MAX} notices")
     spark = docs.sparkSession
     templates = _templates(spark, notices)
+    if lacking := sorted(set(notices) - {r["license"] for r in templates.select("license").collect()}):
+        raise ValueError(f"notices of fewer than {SHINGLE} words can't be told from chance: {lacking}")
     known = templates.withColumn("signature", _signature(F.col("shingles"))).collect()  # TEMPLATES_MAX rows at most
     least = {(b["band"], b["least"]) for r in known for b in r["signature"]}
     hashes = templates.select(F.explode("shingles").alias("x")).distinct().select("x", _signature(F.array("x")).alias("s")).collect()

@@ -39,7 +39,7 @@ def _licenses() -> str:
         return "'" + s.replace("'", "''") + "'"
 
     clean = f"trim(translate(lower(coalesce(text, '')), {quoted(licenses._SIGNS)}, '{' ' * len(licenses._SIGNS)}'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
-    words = f"regexp_extract_all({clean}, '{WORD}')"
+    words = f"regexp_extract_all(regexp_replace({clean}, '{licenses._STOPS}', '\\1', 'g'), '{WORD}')"
     n = licenses.SHINGLE
     shingles = f"list_transform(range(1, greatest(len(ws) - {n - 2}, 1)), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))"
     notices = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licenses.NOTICES.items())
@@ -59,9 +59,10 @@ CHAT = f"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '{TRICK}' union all select -1, 1, 'assistant', '{TRICK}'),
 e as (select *, length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) as body,
-  length(replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '<\\n')) as head, ceil(length(text) / 4)::bigint + 3 as tokens from c),
+  length(replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '<\\n')) as head, ceil(body / 4)::bigint + 3 as tokens from c),
 a as (select *, row_number() over o as n, sum(tokens) over (o rows unbounded preceding) as after from e window o as (partition by conv_id order by turn nulls first, role, text)),
-b as (select *, (after - tokens) // {chat.TARGET} as lo, (after - 1) // {chat.TARGET} as hi, after - tokens as before from a),
+s as (select *, greatest({chat.LEAST_CELL}, {chat.TARGET - chat.HISTORY_TOKENS} - coalesce(max(case when n = 1 and role = 'system' then tokens end) over (partition by conv_id), 0)) as cell from a),
+b as (select *, (after - tokens) // cell as lo, (after - 1) // cell as hi, after - tokens as before from s),
 f as (select *, coalesce(lag(lo) over o <> lo or lag(hi) over o <> hi, true) as starts from b window o as (partition by conv_id order by n)),
 g as (select *, sum(starts::int) over (o rows unbounded preceding) as win from f window o as (partition by conv_id order by n)),
 h as (select *, max(win) over (partition by conv_id) as last,

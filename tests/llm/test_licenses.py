@@ -11,6 +11,7 @@ from .conftest import words
 
 def shingles(text):
     w = regex.findall(r"[^ \t-\r]+", (text or "").lower().translate({ord(c): " " for c in licenses._SIGNS}))
+    w = [x for x in (x.rstrip(".") for x in w) if x]  # a full stop ends a sentence, not a word
     return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
 
 
@@ -65,6 +66,13 @@ def test_other_notices_and_no_rows(table):
         licenses.find_notices(table([]), {})
 
 
+def test_notices_within_sentences_and_too_short_ones(table):
+    rows = [(1, 'x Licensed under the Apache License, Version 2.0 (the "License") y'), (2, "Released under the MIT License, see there."), (3, "Licensed under CC BY-NC 4.0 by us . . ."), (4, "Released under the BSD License.")]
+    assert {(r["doc_id"], r["license"]) for r in licenses.find_notices(table(rows)).collect()} == {(1, "Apache-2.0"), (2, "MIT"), (3, "CC-BY-NC-4.0")}
+    with pytest.raises(ValueError, match="fewer than 5"):
+        licenses.find_notices(table(rows), {"a": "one two three four", "b": "a b c d e"})
+
+
 def test_native():
     assert not any(x in inspect.getsource(licenses) for x in ("udf", "InPandas", "InArrow", ".rdd", "import pandas", "pyarrow"))
 
