@@ -28,9 +28,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset, as in tests."""
+    """spark.checkpoint.dir; where it is unset, as in tests, a folder of our own, which a local master alone can have."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and sc._jsc.sc().getCheckpointDir().isEmpty() and sc.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strata-checkpoint-"))
     return named or sc._jsc.sc().getCheckpointDir().get()

@@ -33,6 +33,8 @@ from strata.sources.files import Folder
 
 META = T.StructType().add("_batch", "long").add("_ord", "long").add("_op", "string")
 TRIES, TICKETS = 100, 64
+#: Segments of one entity that are merged.
+COMPACT_AT = 16
 
 
 @dataclass(frozen=True)
@@ -158,8 +160,14 @@ class Log:
         w.parquet(path)
 
     def append(self, rows: DataFrame, op: str = "P", order: Column | None = None) -> int:
-        """Publish a batch: op 'P' puts rows, 'D' deletes keys. Of rows with one key the last by order wins."""
-        return self.store.publish([self.stage(rows, op, order)])
+        """Publish a batch: op 'P' puts rows, 'D' deletes keys. Of rows with one key the last by order wins.
+
+        A batch that makes COMPACT_AT segments is followed by a compaction, so reads don't slow down with every write.
+        """
+        version = self.store.publish([self.stage(rows, op, order)])
+        if len(self.store.segments(self.entity, version)) >= COMPACT_AT:
+            self.compact()
+        return version
 
     # reading
 

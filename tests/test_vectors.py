@@ -107,3 +107,35 @@ def test_search_keeps_k_rows_a_task(spark, db):
     c.insert_batch({str(i): [float(i), 1.0] for i in range(50)})
     plan = c.search([1.0, 0.0], 3)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_a_search_by_the_index_has_later_writes(spark, tmp_path):
+    from strata.database import Database
+
+    v = Database(spark, str(tmp_path / "db")).vectors("late")
+    rng = np.random.default_rng(4)
+    v.insert_batch({f"v{i}": rng.standard_normal(8).tolist() for i in range(60)})
+    v.build_index(cells=4)
+    ask = [1.0] * 8
+    v.insert("new", [2.0] * 8)
+    best = v.search(ask, 3, nprobe=4).collect()[1]["id"]
+    v.delete(best)
+    v.insert("v0", [1.0] * 7 + [0.9])
+    ids = lambda: ([r["id"] for r in v.search(ask, 5, "ann", nprobe=4).collect()], [r["id"] for r in v.search(ask, 5).collect()])
+    got, want = ids()
+    assert got == want and got[:2] == ["new", "v0"] and best not in got
+    v.compact()
+    got, want = ids()
+    assert got == want
+
+
+def test_many_writes_are_compacted(spark, tmp_path, monkeypatch):
+    from strata.database import Database
+    from strata.sources import log
+
+    monkeypatch.setattr(log, "COMPACT_AT", 3)
+    v = Database(spark, str(tmp_path / "db")).vectors("many")
+    for i in range(7):
+        v.insert(f"v{i % 5}", [float(i), 1.0])
+        assert len(v.log.store.segments(v.log.entity)) < 3
+    assert sorted((r["id"], r["embedding"][0]) for r in v.df().collect()) == [("v0", 5.0), ("v1", 6.0), ("v2", 2.0), ("v3", 3.0), ("v4", 4.0)]
