@@ -284,10 +284,11 @@ def vec_topk_exact(spark, sf_dir):
     return search(stored_vectors(spark, sf_dir), first_vector(spark, sf_dir), 5).select("id", micro(F.col("score")).alias("score"))
 
 
-@query(
-    f"""with s as (select cast(a.vec_id as varchar) as query_id, cast(b.vec_id as varchar) as id, {COSINE_SQL} as c from embeddings a, embeddings b where a.vec_id % 20 = 0),
+TOPK_SQL = f"""with s as (select cast(a.vec_id as varchar) as query_id, cast(b.vec_id as varchar) as id, {COSINE_SQL} as c from embeddings a, embeddings b where a.vec_id % 20 = 0),
     r as (select *, row_number() over (partition by query_id order by c desc, id) as rank from s) select query_id, id, cast(round(c * 1e6) as bigint) as score, cast(rank as integer) as rank from r where rank <= 5"""
-)
+
+
+@query(TOPK_SQL)
 def vec_topk_batch(spark, sf_dir):
     v = stored_vectors(spark, sf_dir)
     return top_k(v, v.where("vec_id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), 5).select("query_id", "id", micro(F.col("score")).alias("score"), "rank")
@@ -300,6 +301,15 @@ def vec_topk_ann(spark, sf_dir):
     return CellIndex.build(v).top_k(v.where("vec_id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), 5).select("query_id", "id", micro(F.col("score")).alias("score"), "rank")
 
 
+@query(TOPK_SQL)
+def vec_topk_all_cells(spark, sf_dir):
+    """The index with every cell probed, which is exact search."""
+    v = stored_vectors(spark, sf_dir)
+    index = CellIndex.build(v)
+    found = index.top_k(v.where("vec_id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), 5, nprobe=len(index.centres))
+    return found.select("query_id", "id", micro(F.col("score")).alias("score"), "rank")
+
+
 @query("select count(*) as queries, true as enough from embeddings where vec_id % 20 = 0")
 def vec_ann_recall(spark, sf_dir):
     """Whether the cells of vec_topk_ann hold nine tenths of the exact answers."""
@@ -508,7 +518,7 @@ def graph_txn_rollback(spark, sf_dir):
     return store.graph().edges.select("source_id", "target_id")
 
 
-BFS_SQL = f"with recursive {FOLLOWS_SQL}, b as (select 'u0' as id, 0 as depth union select f.t, b.depth + 1 from b join f on f.s = b.id where b.depth < 6) select id, min(depth) as depth from b group by id"
+BFS_SQL = f"with recursive {FOLLOWS_SQL}, b as (select 'u0' as id, 0 as depth union select f.t, b.depth + 1 from b join f on f.s = b.id where b.depth < 24) select id, min(depth) as depth from b group by id"
 
 
 @query(BFS_SQL)
@@ -527,7 +537,15 @@ def graph_dfs_set(spark, sf_dir):
     return A.dfs_table(follows(spark, sf_dir), "u0", "FOLLOWS").select("id")
 
 
-@query()
+#: A step visits the top of the stack, and puts its children that aren't seen on what is left of it.
+DFS_SQL = f"""with recursive {FOLLOWS_SQL}, c as materialized (select s, list(t order by t) as to_ids from (select distinct s, t from f) group by s),
+    d as (select 'u0' as id, 0 as n, ['u0'] as seen, coalesce((select list_filter(to_ids, lambda x: x <> 'u0') from c where s = 'u0'), []::varchar[]) as stack
+    union all select id, n, seen, list_filter(coalesce(to_ids, []::varchar[]), lambda x: not list_contains(seen, x)) || list_filter(rest, lambda x: not list_contains(coalesce(to_ids, []::varchar[]), x)) from
+    (select stack[1] as id, n + 1 as n, list_append(seen, stack[1]) as seen, stack[2:] as rest, c.to_ids from d left join c on c.s = d.stack[1] where len(d.stack) > 0))
+    select id, n as visit_order from d"""
+
+
+@query(DFS_SQL)
 def graph_dfs(spark, sf_dir):
     return A.dfs_table(follows(spark, sf_dir), "u0", "FOLLOWS")
 

@@ -91,6 +91,25 @@ def test_index_is_exact_with_all_cells_and_has_recall_with_few(spark, db, small)
     assert 1 <= index.nprobe <= 16 and len(pairs(index.top_k(queries, 5)) & exact) >= 0.9 * len(exact)
 
 
+def test_cells_and_queries_in_many_parts(spark, monkeypatch):
+    from strata.operators import vectors as VV
+
+    monkeypatch.setattr(VV, "SPLIT_ROWS", 100)
+    monkeypatch.setattr(VV, "BLOCK", 7)
+    x = np.random.default_rng(3).standard_normal((600, 8))
+    x[:300] = x[0] + 0.01 * x[:300]  # a cell with half of all rows
+    v = spark.createDataFrame([(f"{i}", r.tolist()) for i, r in enumerate(x)], "id string, embedding array<double>")
+    queries = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    index = VV.CellIndex.build(v, cells=6)
+    assert index.split == 6 and index.table.count() == 600
+    want = {q: [i for i, _ in brute({str(i): r.tolist() for i, r in enumerate(x)}, x[int(q)].tolist(), 4)] for q in (str(i) for i in range(0, 600, 20))}
+    for df in (index.top_k(queries, 4, nprobe=6), VV.top_k(v, queries, 4)):
+        got = {}
+        for r in df.orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["id"])
+        assert got == want
+
+
 def test_few_probes_are_enough_for_groups(spark, db):
     gen = np.random.default_rng(1)
     x = np.repeat(gen.standard_normal((20, 16)), 50, axis=0) + 0.05 * gen.standard_normal((1000, 16))
