@@ -8,9 +8,11 @@ exact: some pairs just above SIMILARITY are within 3 bits in none of the views.
 Candidates are compared by bottom-k sketches, which only drop pairs far below
 the mark, and the rest by their whole shingle sets.
 
-A key's run of up to RUN texts gives all its close pairs. A longer one is a crowd,
-and its texts are open: each is only paired with the HUB, the text nearest to the
-run's majority, which in a crowd of edited copies is likely the copies' origin. The
+The texts of a key's run are grouped by their close pairs, so that texts which a key holds by
+chance, more of them the larger the corpus is, change nothing. A group of up to RUN texts gives all its
+close pairs. A larger one is a crowd,
+and its texts are open: each is only paired with the HUB, the text with the most close
+ones, which in a crowd of edited copies is likely the copies' origin. The
 first view is searched before the others, where texts that are open already aren't
 paired with each other. Of more than PAIRS smaller candidates a text is held against
 those met in most runs, and is open with all of them.
@@ -41,7 +43,7 @@ from strata.llm.runtime import lean, parts, plain, prepare, table
 
 SHINGLE, SIMILARITY, VIEWS, SKETCH, RUN, PAIRS = 5, 0.8, 12, 64, 16, 12
 MINIMA, COUNTERS = 4, 18  # bits of a shingle's hash that name its counter
-WIDE = 2048
+SHORT, WIDE = 64, 1 << 14
 HELD = 200_000  # rows or pairs that a task has at once
 _MARGIN = 0.25  # over 4 standard errors of a sketch
 
@@ -81,19 +83,82 @@ def _prints(docs: DataFrame, views: int) -> DataFrame:
     return docs.mapInArrow(lean(run), "doc_id long, digest binary, fps array<long>, sketch array<long>")
 
 
-def _near(fp: np.ndarray, ident: np.ndarray, is_open: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Close pairs in one key's run, and whether it is a crowd; of a crowd a pair with the hub, or with itself, for each text that isn't open."""
-    n = len(fp)
-    if n <= RUN:
-        i, j = np.triu_indices(n, 1)
-        good = (np.bitwise_count(fp[i] ^ fp[j]) <= simhash.MAX_BITS) & ~(is_open[i] & is_open[j])
-        return np.stack([ident[i[good]], ident[j[good]]]), False
+def _pairs(fp: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Close pairs within each of the runs that lie one after another, as positions; all runs a step at a time."""
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(fp))
+    i, j, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
+    at = np.flatnonzero(left > 1)
+    while len(at):
+        near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= simhash.MAX_BITS]
+        i.append(near)
+        j.append(near + step)
+        step += 1
+        at = at[left[at] > step]
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _sparse(fp: np.ndarray, is_open: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Close pairs of one long run but those of two open texts, of which many are taken as linked; None where there are too many."""
     own = np.flatnonzero(~is_open)
-    if n <= WIDE:  # in a larger one all are taken to be close to some
-        own = own[[(np.bitwise_count(fp ^ fp[i]) <= simhash.MAX_BITS).sum() > 1 for i in own]]
-    hub = np.bitwise_count(fp ^ simhash.majority(fp, np.array([n]))).argmin()
+    i, j, have, most = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 2 * RUN * len(fp)
+    for lo in range(0, len(own), strip := max(1, HELD * 8 // len(fp))):
+        k = own[lo : lo + strip]
+        r, c = np.nonzero(np.bitwise_count(fp[k][:, None] ^ fp) <= simhash.MAX_BITS)
+        once = (k[r] < c) | is_open[c]
+        i.append(k[r[once]])
+        j.append(c[once])
+        have += len(i[-1])
+        if have > most:
+            return None
+    known = np.flatnonzero(is_open)
+    if len(known) > RUN:
+        i.append(known[:-1])
+        j.append(known[1:])
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _grouped(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of each of n positions the smallest that the links (i, j) reach."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        if (root[i] == low).all() and (root[j] == low).all():
+            return root
+        for k in (i, j):
+            np.minimum.at(root, root[k], low)
+            np.minimum.at(root, k, low)
+        root = root[root]
+
+
+def _told(fp: np.ndarray, ident: np.ndarray, is_open: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """(a, b, crowded) of the links (i, j): the pairs of small groups; in a crowd a pair with its hub, or with itself, for each text that isn't open."""
+    root = _grouped(len(fp), i, j)
+    crowd = np.bincount(root, minlength=len(fp))[root] > RUN
+    good = ~crowd[i] & ~(is_open[i] & is_open[j])
+    out = np.stack([ident[i[good]], ident[j[good]], np.zeros(good.sum(), np.int64)])
+    own = np.flatnonzero(crowd & ~is_open)
+    if not len(own):
+        return out
+    links = np.bincount(i, minlength=len(fp)) + np.bincount(j, minlength=len(fp))
+    every = np.flatnonzero(crowd)
+    every = every[np.lexsort((-links[every], root[every]))]
+    hub = every[np.searchsorted(root[every], root[own])]
+    return np.hstack([out, _to_hub(fp, ident, own, hub)])
+
+
+def _to_hub(fp: np.ndarray, ident: np.ndarray, own: np.ndarray, hub: np.ndarray | np.int64) -> np.ndarray:
     to = np.where(np.bitwise_count(fp[own] ^ fp[hub]) <= simhash.MAX_BITS, hub, own)
-    return np.stack([ident[to], ident[own]]), True
+    return np.stack([ident[to], ident[own], np.ones(len(own), np.int64)])
+
+
+def _long(fp: np.ndarray, ident: np.ndarray, is_open: np.ndarray) -> np.ndarray:
+    """_told of one run of over SHORT texts."""
+    if len(fp) <= WIDE and (some := _sparse(fp, is_open)):
+        return _told(fp, ident, is_open, *some)
+    own = np.flatnonzero(~is_open)
+    if len(fp) <= WIDE:  # in a larger one all are taken to be close to some
+        own = own[[(np.bitwise_count(fp ^ fp[i]) <= simhash.MAX_BITS).sum() > 1 for i in own]]
+    return _to_hub(fp, ident, own, np.bitwise_count(fp ^ simhash.majority(fp, np.array([len(fp)]))).argmin())
 
 
 def _met(got: list[np.ndarray]) -> pa.RecordBatch:
@@ -114,14 +179,23 @@ def _meet(key: np.ndarray, fp: np.ndarray, ident: np.ndarray, is_open: np.ndarra
     key, fp, ident, is_open = key[new], fp[new].view(np.uint64), ident[new], is_open[new]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
     size = np.diff(np.append(begin, len(key)))
-    two = begin[size == 2]
-    near = (np.bitwise_count(fp[two] ^ fp[two + 1]) <= simhash.MAX_BITS) & ~(is_open[two] & is_open[two + 1])
-    got = [np.stack([ident[two][near], ident[two + 1][near], np.zeros(near.sum(), np.int64)])]
-    have = 0
-    for at, m in zip(begin[size > 2], size[size > 2], strict=True):
-        pairs, crowded = _near(fp[at : at + m], ident[at : at + m], is_open[at : at + m])
-        got.append(np.vstack([pairs, np.full((1, pairs.shape[1]), int(crowded))]))
-        have += pairs.shape[1]
+    live = (size > 1) & ~np.logical_and.reduceat(is_open, begin) if len(key) else np.zeros(0, bool)
+    got, have = [], 0
+    runs = np.flatnonzero(live & (size <= SHORT))
+    some = np.flatnonzero(np.repeat(live & (size <= SHORT), size))
+    edge = np.concatenate([[0], np.cumsum(size[runs])])
+    cuts = np.unique(np.append(np.searchsorted(edge, np.arange(0, len(some), HELD // 4)), len(runs)))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        at = some[edge[lo] : edge[hi]]
+        got.append(_told(fp[at], ident[at], is_open[at], *_pairs(fp[at], size[runs[lo:hi]])))
+        have += got[-1].shape[1]
+        if have >= HELD:
+            yield _met(got)
+            got, have = [], 0
+    for r in np.flatnonzero(live & (size > SHORT)):
+        at = slice(begin[r], begin[r] + size[r])
+        got.append(_long(fp[at], ident[at], is_open[at]))
+        have += got[-1].shape[1]
         if have >= HELD:
             yield _met(got)
             got, have = [], 0

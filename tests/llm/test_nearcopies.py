@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import regex
 
@@ -108,6 +109,49 @@ def test_recall_just_above_the_mark(table, low):
     assert len(near) > 150 and len(missed) <= 0.01 * len(near)
 
 
+def met(key, fp, is_open):
+    """Pairs that are given, and the texts that are open after."""
+    order = np.lexsort((np.arange(len(key)), key))
+    pairs, opened = set(), set(np.flatnonzero(is_open).tolist())
+    for b in nearcopies._meet(key[order], fp[order].view(np.int64), order, is_open[order]):
+        for a, z, crowded, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            assert a <= z and runs > 0
+            if a < z:
+                pairs.add((a, z))
+            if crowded:
+                opened |= {a, z}
+    return pairs, opened
+
+
+@pytest.mark.parametrize("strangers", [40, 500])
+def test_texts_that_share_a_key_by_chance_make_no_crowd(strangers):
+    fp = np.random.default_rng(strangers).integers(0, 2**63, strangers, dtype=np.uint64)
+    fp = np.concatenate([fp, fp[:8] ^ np.uint64(5)])
+    pairs, opened = met(np.zeros(len(fp), np.int64), fp, np.zeros(len(fp), bool))
+    assert pairs == {(i, strangers + i) for i in range(8)} and not opened
+
+
+@pytest.mark.parametrize("wide", [300, nearcopies.WIDE])
+def test_a_close_pair_is_given_or_open(monkeypatch, wide):
+    monkeypatch.setattr(nearcopies, "WIDE", wide)
+    gen = np.random.default_rng(4)
+    key, fp = [], []
+    for k, (strangers, copies) in enumerate([(0, 2), (1, 1), (3, 9), (0, 16), (0, 17), (2, 40), (30, 12), (90, 12), (90, 30), (600, 15), (600, 200), (0, 400)]):
+        base = gen.integers(0, 2**63, strangers + 2, dtype=np.uint64)
+        near = np.concatenate([base[:2], base[gen.integers(0, 2, copies)] ^ np.uint64(1) << gen.integers(0, 63, copies).astype(np.uint64)])
+        own = np.concatenate([base[2:], near[-copies:]])
+        key += [k] * len(own)
+        fp += own.tolist()
+    key, fp = np.array(key), np.array(fp, np.uint64)
+    for share in (0, 0.1, 0.6, 1):
+        is_open = gen.random(len(fp)) < share
+        pairs, opened = met(key, fp, is_open)
+        for i in range(len(fp)):
+            for j in (np.flatnonzero((key[i + 1 :] == key[i]) & (np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= 3)) + i + 1).tolist():
+                assert (i, j) in pairs or {i, j} <= opened
+        assert all(key[i] == key[j] and np.bitwise_count(fp[i] ^ fp[j]) <= 3 for i, j in pairs)
+
+
 def test_keep_one(table, corpus):
     _, want = brute(corpus)
     kept = nearcopies.keep_one(table(corpus))
