@@ -2,8 +2,8 @@
 
 * Document frequencies of hashed words are counted over all documents.
 * A randomised SVD by subspace iteration of TF-IDF passages gives RANK latent
-  directions. Its rows are all benchmark items (weighted) and a sample
-  of at most SAMPLE passages, those with the smallest hashes; each round is a
+  directions. Its rows are all benchmark items (weighted) and all passages of all
+  documents, which weigh as much as PASSAGES of them where there are more; each round is a
   distributed product with A'A of which only a matrix of 2**BITS by RANK numbers
   comes to the driver. This fits the index; everything is then searched with it.
 * Items' images in the latent space are filed in about sqrt(items) cells by spherical
@@ -45,7 +45,8 @@ from pyspark.sql import functions as F
 from strata.llm import words as W
 from strata.llm.runtime import lean, plain, prepare, release, table
 
-BITS, RANK, ROUNDS, SAMPLE, WEIGHT = 14, 128, 3, 20_000, 4.0
+BITS, RANK, ROUNDS, PASSAGES, WEIGHT = 14, 128, 2, 20_000, 4.0
+STRIP, PACK, TASK = 8192, 64, 1 << 18  # passages that are multiplied at once, that a row holds, and that a task has
 COSINE, EXACT, PARAPHRASE, ANSWER, LEAST, LONGEST = 0.25, 0.8, 0.6, 4, 8, 64
 REACH, POSTINGS = 32, 1 << 20  # postings that are laid out at once
 SHORT, ITEM_BYTES, PROBES = 4, 16 << 20, 4
@@ -66,17 +67,21 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def statistics(docs: DataFrame, sample: int) -> tuple[np.ndarray, int, DataFrame]:
+def statistics(docs: DataFrame, sample: int | None = None) -> tuple[np.ndarray, int, DataFrame]:
     """In one pass over all documents: each word bucket's document frequency, the number of documents, and passages.
 
-    Passages are at most `sample` runs of LONGEST words as arrays of buckets, evenly chosen by hash.
+    Passages are runs of LONGEST words as buckets: all, PACK in a row as the bytes of their int16 numbers and of their
+    sizes; or at most `sample` of them as arrays, evenly chosen by hash.
     """
-    length = F.greatest(F.octet_length("text"), F.lit(1)) / F.lit(6.0 * LONGEST)
-    some = docs.agg(F.sum(length).alias("n")).first()["n"] or 1.0  # passages, about
-    share = min(1.0, 0.8 * sample / some)
+    share = None
+    if sample is not None:
+        length = F.greatest(F.octet_length("text"), F.lit(1)) / F.lit(6.0 * LONGEST)
+        some = docs.agg(F.sum(length).alias("n")).first()["n"] or 1.0  # passages, about
+        share = np.uint64(min(2**64 - 1, int(min(1.0, 0.8 * sample / some) * 2**64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, seen, marks, held = np.zeros(1 << BITS, np.int64), 0, [], []
+        n, seen = np.zeros(1 << BITS, np.int64), 0
+        names = ["bucket", "n", "mark", "words", "sizes"]
         for b in batches:
             for _, part in W.chunked(b.column(0)):
                 w, h = tokens(part)
@@ -89,14 +94,28 @@ def statistics(docs: DataFrame, sample: int) -> tuple[np.ndarray, int, DataFrame
                 nth = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
                 begin = np.repeat(w.first[:-1], per) + nth * LONGEST
                 end = np.minimum(begin + LONGEST, np.repeat(w.first[1:], per))
-                for i in np.flatnonzero(W.mix(h[begin] ^ h[end - 1] * np.uint64(3)) <= np.uint64(min(2**64 - 1, int(share * 2**64)))) if len(begin) else ():
-                    marks.append(int(W.mix(h[begin[i] : begin[i] + 1])[0].view(np.int64)))
-                    held.append(bucket[begin[i] : end[i]].tolist())
+                if share is not None and len(begin):
+                    chosen = W.mix(h[begin] ^ h[end - 1] * np.uint64(3)) <= share
+                    begin, end = begin[chosen], end[chosen]
+                if not len(begin):
+                    continue
+                edge = np.concatenate([[0], np.cumsum(end - begin)])
+                held = bucket[np.arange(edge[-1]) + np.repeat(begin - edge[:-1], end - begin)].astype(np.int16)
+                if share is None:
+                    cut = np.append(np.arange(0, len(begin), PACK), len(begin))
+                    words, sizes = _packed(held, edge[cut]), _packed((end - begin).astype(np.uint8), cut)
+                    mark = pa.nulls(len(words), pa.int64())
+                else:
+                    words, sizes = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(held)), pa.nulls(len(begin), pa.binary())
+                    mark = pa.array(W.mix(h[begin]).view(np.int64))
+                none = pa.nulls(len(words), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, mark, words, sizes], names)
         at = np.append(np.flatnonzero(n), -1)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(n[at[:-1]], seen)), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.list_(pa.int64()))], ["bucket", "n", "mark", "words"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(marks), pa.int64()), pa.nulls(len(marks), pa.int64()), pa.array(marks, pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["bucket", "n", "mark", "words"])
+        none = [pa.nulls(len(at), x) for x in (pa.int64(), pa.binary() if share is None else pa.list_(pa.int16()), pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(n[at[:-1]], seen)), *none], names)
 
-    both = table(docs.select("text").mapInArrow(lean(run), "bucket long, n long, mark long, words array<long>"), "statistics")
+    kind = "binary" if share is None else "array<short>"
+    both = table(docs.select("text").mapInArrow(lean(run), f"bucket long, n long, mark long, words {kind}, sizes binary"), "statistics")
     rows = both.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # 2**BITS + 1 rows
     n, seen = np.zeros(1 << BITS), 0
     for r in rows:
@@ -104,59 +123,102 @@ def statistics(docs: DataFrame, sample: int) -> tuple[np.ndarray, int, DataFrame
             seen = r["n"]
         else:
             n[r["bucket"]] = r["n"]
-    return n, seen, table(both.where("words is not null").select("mark", "words").orderBy("mark", "words").limit(sample), "passages")
+    passages = both.where("bucket is null")
+    if sample is None:
+        return n, seen, passages.select("words", "sizes")
+    return n, seen, table(passages.select("mark", "words").orderBy("mark", "words").limit(sample), "passages")
+
+
+def _packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of values from each edge to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All buckets and the passages' sizes."""
+    if pa.types.is_list(b.column(0).type):
+        return b.column(0).flatten().to_numpy(), np.diff(b.column(0).offsets.to_numpy())
+    return W.raw(b.column(0))[0].view(np.int16), W.raw(b.column(1))[0].astype(np.int64)
+
+
+def _units(col: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bucket and value of TF-IDF rows of n buckets each, and the rows' norms."""
+    key = np.sort(np.repeat(np.arange(len(n)), n) << BITS | col)
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+    row, col = key[at] >> BITS, key[at] & (1 << BITS) - 1
+    v = np.diff(np.append(at, len(key))) * idf[col]
+    return row, col, v, np.maximum(np.sqrt(np.bincount(row, v * v, len(n))), 1e-12)
 
 
 def _weighted(words: list[list[int]], idf: np.ndarray, weight: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, bucket and value of unit TF-IDF rows."""
     n = np.array([len(x) for x in words], np.int64)
-    row, col = np.repeat(np.arange(len(n)), n), np.fromiter((i for x in words for i in x), np.int64, int(n.sum()))
-    key, tf = np.unique(row << BITS | col, return_counts=True)
-    row, col = key >> BITS, key & (1 << BITS) - 1
-    v = tf * idf[col]
-    norm = np.sqrt(np.bincount(row, v * v, len(n)))
-    return row, col, weight * v / np.maximum(norm[row], 1e-12)
-
-
-def _sum_rows(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of sorted keys, and the sums of their rows of x."""
-    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[at], np.add.reduceat(x, at, axis=0)
-
-
-def _gram(a: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int, q: np.ndarray) -> np.ndarray:
-    """A'(A q) for a sparse A sorted by row, in strips of rows."""
-    out, q = np.zeros(q.shape), q.astype(np.float32)
-    for lo in range(0, rows, 500):
-        i, j = np.searchsorted(a[0], [lo, lo + 500])
-        if i == j:
-            continue
-        row, col, v = a[0][i:j], a[1][i:j], a[2][i:j, None].astype(np.float32)
-        y = np.zeros((min(500, rows - lo), q.shape[1]), np.float32)
-        k, x = _sum_rows(row, v * q[col])
-        y[k - lo] = x
-        o = np.argsort(col, kind="stable")
-        k, x = _sum_rows(col[o], v[o] * y[row[o] - lo])
-        out[k] += x
+    row, col, v, norm = _units(np.fromiter((i for x in words for i in x), np.int64, int(n.sum())), n, idf)
+    return row, col, weight * v / norm[row]
+
+
+def _sums(x: np.ndarray, which: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sums of the next n[i] rows x[which], for each i; the rows of each at first step by step, for many i at once."""
+    out, first = np.empty((len(n), x.shape[1]), np.float32), np.cumsum(n) - n
+    order = np.argsort(-n, kind="stable")
+    for lo in range(0, len(n), 1024):
+        at = order[lo : lo + 1024]
+        size, begin = n[at], first[at]
+        total = np.zeros((len(at), x.shape[1]), np.float32)
+        one = np.empty_like(total)
+        for step in range(min(96, int(size[0]))):
+            k = int(np.searchsorted(-size, -step))  # those with more
+            np.take(x, which[begin[:k] + step], axis=0, out=one[:k], mode="clip")
+            total[:k] += one[:k]
+        for i in range(int(np.searchsorted(-size, -96))):
+            total[i] += x[which[begin[i] + 96 : begin[i] + size[i]]].sum(axis=0)
+        out[at] = total
+    return out
+
+
+def _gram(col: np.ndarray, n: np.ndarray, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A'(A q) for unit TF-IDF rows A of n buckets each, in strips of rows."""
+    out, images = np.zeros(q.shape), (q * idf[:, None]).astype(np.float32)
+    first = np.concatenate([[0], np.cumsum(n)])
+    for lo in range(0, len(n), STRIP):
+        own = n[lo : lo + STRIP]
+        c = col[first[lo] : first[lo + len(own)]].astype(np.int64)
+        norm = _units(c, own, idf)[3]
+        y = _sums(images, c, own) / (norm * norm)[:, None].astype(np.float32)
+        order = np.argsort(c.astype(np.int16), kind="stable")  # by radix
+        times = np.bincount(c, minlength=len(q))
+        has = np.flatnonzero(times)
+        out[has] += _sums(y, np.repeat(np.arange(len(own)), own)[order], times[has]) * idf[has, None]
     return out
 
 
 def latent(passages: DataFrame, items: list[list[int]], idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """The first right singular directions, 2**BITS by rank."""
+    """A basis of the first right singular directions, 2**BITS by rank; it isn't turned to them, which no cosine within their space sees."""
     spark = passages.sparkSession
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((1 << BITS, rank)))[0]
-    own = _weighted(items, idf, WEIGHT)
-    strip = 1024
-
-    for last in [*[False] * (ROUNDS - 1), True]:
+    n = np.array([len(x) for x in items], np.int64)
+    own = np.fromiter((i for x in items for i in x), np.int64, int(n.sum()))
+    packed = "sizes" in passages.columns
+    many = passages.agg(F.sum(F.octet_length("sizes")).alias("n")).first()["n"] if packed else passages.count()
+    share = min(1.0, PASSAGES / max(1, many or 0))
+    # a task returns 2**BITS by rank numbers, so it should have more passages than that
+    passages = passages.coalesce(max(spark.sparkContext.defaultParallelism, math.ceil((many or 0) / TASK)))
+    strip = 64
+
+    for _ in range(ROUNDS):
         sent = spark.sparkContext.broadcast((q.astype(np.float32), idf))  # 2**BITS by rank
 
         def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q, idf = sent.value  # noqa: B023
-            z = np.zeros(q.shape)
+            z, held, rows = np.zeros(q.shape), [], 0
             for b in batches:
-                words = b.column(0).to_pylist()
-                z += _gram(_weighted(words, idf), len(words), q)
+                held.append(unpacked(b))
+                rows += len(held[-1][1])
+                if rows >= STRIP:
+                    z += _gram(*map(np.concatenate, zip(*held, strict=True)), idf, q)
+                    held, rows = [], 0
+            if rows:
+                z += _gram(*map(np.concatenate, zip(*held, strict=True)), idf, q)
             z = z.astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array(range(0, 1 << BITS, strip), pa.int64()), pa.array([z[i : i + strip].tobytes() for i in range(0, 1 << BITS, strip)], pa.binary())], ["at", "part"])
 
@@ -164,18 +226,15 @@ def latent(passages: DataFrame, items: list[list[int]], idf: np.ndarray, rank: i
             z = sum(np.frombuffer(x.as_buffer(), np.float32).astype(float) for x in t["part"]).astype(np.float32)
             return pa.table({"at": t["at"].slice(0, 1), "part": pa.array([z.tobytes()], pa.binary())})
 
-        got = passages.select("words").mapInArrow(lean(product), "at long, part binary").groupBy("at").applyInArrow(add, "at long, part binary").collect()
-        z = _gram(own, len(items), q)
+        got = passages.select("words", *["sizes"] * packed).mapInArrow(lean(product), "at long, part binary").groupBy("at").applyInArrow(add, "at long, part binary").collect()
+        z = WEIGHT**2 * _gram(own, n, idf, q)
         for r in got:
-            z[r["at"] : r["at"] + strip] += np.frombuffer(r["part"], np.float32).reshape(strip, rank)
+            z[r["at"] : r["at"] + strip] += share * np.frombuffer(r["part"], np.float32).reshape(strip, rank)
         del got
         sent.destroy()
         release()
-        if last:  # turn the basis to the singular directions
-            value, turn = np.linalg.eigh(q.T @ z)
-            return q @ turn[:, np.argsort(-value)]
         q = np.linalg.qr(z)[0]
-    raise AssertionError
+    return q
 
 
 def masks(item: list[int]) -> dict[int, int]:
@@ -231,6 +290,7 @@ class Search:
         self.images = np.vstack([direction * idf[:, None], np.zeros(direction.shape[1])]).astype(np.float32, order="C")  # rows are taken
         self.idf2 = np.append(idf * idf, 0).astype(np.float32)
         self.masks = [masks(words) for _, words in items]
+        self.times = [dict(Counter(words)) for _, words in items]
         self.shapes = []
         for n, (blocks, longest) in enumerate(SHAPES):
             shortest = SHAPES[n - 1][1] if n else 0
@@ -366,7 +426,7 @@ class Search:
             ident, item = self.items[i]
             text = words[max(0, a - len(item)) : z + len(item)]
             # no more words can be common in order than the item has places of words that the text has
-            if sum(m.bit_count() for m in map(self.masks[i].get, self.masks[i].keys() & set(text))) < PARAPHRASE * len(item):
+            if sum(map(self.times[i].get, self.times[i].keys() & set(text))) < PARAPHRASE * len(item):
                 continue
             n = common(self.masks[i], len(item), text)
             share = n / len(item)
@@ -434,7 +494,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataF
     if not size:
         return spark.createDataFrame([], schema)
     blocks = math.ceil(size / ITEM_BYTES)
-    df, n, passages = statistics(docs, SAMPLE)
+    df, n, passages = statistics(docs)
     idf = np.log((n + 1) / (df + 0.5)).clip(0.01)
     out = [_block(docs, known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else known, passages, idf, rank, schema) for k in range(blocks)]
     return functools.reduce(DataFrame.unionByName, [x for x in out if x is not None] or [spark.createDataFrame([], schema)])
