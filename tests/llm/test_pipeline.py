@@ -64,6 +64,21 @@ def test_leaks_go(spark, small, stages):
     assert set(texts(after)) == set(texts(before)) - leaks
 
 
+def test_leaks_are_searched_with_a_fit_on_all_passages(spark, small, stages, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SAMPLE", 10, raising=False)
+    seen, latent = [], decontaminate.latent
+
+    def spy(passages, *a):
+        seen.append(sum(len(decontaminate.unpacked(b)[1]) for b in passages.toArrow().to_batches()) if "sizes" in passages.columns else passages.count())
+        return latent(passages, *a)
+
+    monkeypatch.setattr(decontaminate, "latent", spy)
+    before, after = stages["benchmark"]
+    assert set(texts(P.drop_leaks(spark, before, small))) == set(texts(after))
+    words = decontaminate.tokens(before.select("text").toArrow()["text"])[0].counts
+    assert seen == [(-(-words // decontaminate.LONGEST)).sum()]
+
+
 def test_all_that_is_left_is_packed(stages):
     before, after = stages["packing"]
     rows = after.collect()
