@@ -12,12 +12,12 @@ that both labels have about alike (ODDS), and those with one ending stand in for
 with such a term also gives a pair of two lexicon terms in its place, so lexicon terms
 that no labelled sentence has are made even as well. Model.pairs counts the pairs.
 
-Fitting: of the labelled rows outside the held-out quarter, SAMPLE at most (those
-with the smallest hash of doc_id) give, in a distributed count over their whole
+Fitting: all labelled rows outside the held-out quarter give, in a distributed count over their whole
 texts, the FEATURES grams with the largest chi-square, and then their own sparse
-features and those of SENTENCES sentences a text. Only these come to the driver: SAMPLE * (1 + 4 * SENTENCES) rows of
-at most FEATURES small numbers whatever the corpus's size, some 10 MB in practice. Scoring
-is a narrow pass over the whole texts of all documents.
+features and those of SENTENCES sentences a text. Those of LOCAL rows at most come to the driver: LOCAL * (1 + 4 * SENTENCES) rows of
+at most FEATURES small numbers, some 10 MB in practice. Those of more rows are written to the shared folder, and each
+of the ROUNDS steps of the same descent sums its gradient over them in tasks, of which FEATURES numbers each come to the
+driver. Scoring is a narrow pass over the whole texts of all documents.
 
 Null and empty texts get the score of a text with no grams. A null doc_id is not
 held out and has no label. Where rows of labels repeat a doc_id, toxic if any is; where documents do, the least text is learned.
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,11 +41,13 @@ from pyspark.sql import functions as F
 from strata.llm import words as W
 from strata.llm.runtime import lean, plain, prepare, release, table
 
-SAMPLE, FEATURES, BITS, SIZES, DENSITY = 20_000, 2048, 20, (4, 6, 7), (1500, 700, 350)
+LOCAL, FEATURES, BITS, SIZES, DENSITY = 20_000, 2048, 20, (4, 6, 7), (1500, 700, 350)
 CHUNK = 250_000  # bytes of text at once; every byte begins a few grams of 8 bytes
 SPACE_SIZE = (1 + len(DENSITY)) << BITS
 TERMS, TERM_LETTERS, ODDS, SENTENCES = 256, 4, 0.7, 2
+WORDS = 200_000  # that a task counts before it passes the counts on
 THRESHOLD, RIDGE, FAIR, ROUNDS, LEAST = 0.3, 1e-3, 1.0, 200, 6
+PACKED = "kind int, y binary, sizes binary, f binary, s binary"
 #: Terms of one row stand in for each other.
 IDENTITY: tuple[tuple[str, ...], ...] = (
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -173,11 +175,20 @@ def _derived(rows: DataFrame, positive: int, total: int) -> tuple[tuple[str, ...
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = regex.compile(rf"\b\p{{L}}{{{TERM_LETTERS},24}}\b")
         n: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def counted() -> pa.RecordBatch:
+            every = sorted(n[0].keys() | n[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([n[0][w] for w in every], pa.int64()), pa.array([n[1][w] for w in every], pa.int64())], ["word", "n0", "n1"])
+            for c in n:
+                c.clear()
+            return out
+
         for b in batches:
             for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 n[y > 0].update(set(word.findall((x or "").lower())))
-        every = sorted(w for w in n[0].keys() | n[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([n[0][w] for w in every], pa.int64()), pa.array([n[1][w] for w in every], pa.int64())], ["word", "n0", "n1"])
+                if len(n[0]) + len(n[1]) >= WORDS:
+                    yield counted()
+        yield counted()
 
     n = rows.mapInArrow(lean(run), "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     odds = F.log((F.col("n1") + 0.5) / (positive + 1) / ((F.col("n0") + 0.5) / (total - positive + 1)))
@@ -208,29 +219,36 @@ def _products(edges: np.ndarray, feature: np.ndarray, w: np.ndarray, width: int,
     return out
 
 
-def fit_features(edges: np.ndarray, feature: np.ndarray, y: np.ndarray, width: int, pair_edges: np.ndarray | None = None, pair_feature: np.ndarray | None = None, sign: np.ndarray | None = None, fair: float = FAIR) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on: log loss + RIDGE |w|^2 / 2 + fair * mean over pairs of (w . difference)^2 / 2.
+def _pull(edges: np.ndarray, feature: np.ndarray, y: np.ndarray, w: np.ndarray, bias: float, n: int) -> tuple[np.ndarray, float]:
+    """The gradient by weights and bias of the log loss of these rows, of n rows in all."""
+    gb = 0.0
 
-    Row i has the features feature[edges[i]:edges[i + 1]]; pairs alike, with the sign of each.
-    """
-    n, pairs = len(edges) - 1, 0 if pair_edges is None else len(pair_edges) - 1
+    def error(lo: int, x: np.ndarray) -> np.ndarray:
+        nonlocal gb
+        g = (1 / (1 + np.exp(-(x + bias))) - y[lo : lo + len(x)]) / n
+        gb += g.sum()
+        return g
+
+    return _products(edges, feature, w, len(w), error), gb
+
+
+def _even(edges: np.ndarray, feature: np.ndarray, sign: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The gradient of the sum over pairs of (w . difference)^2 / 2."""
+    return _products(edges, feature, w, len(w), lambda _, x: x, sign)
+
+
+def _descend(width: int, n: int, toxic: float, pairs: int, fair: float, gradient: Callable[[np.ndarray, float], tuple[np.ndarray, float, np.ndarray]]) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on: log loss + RIDGE |w|^2 / 2 + fair * mean over pairs of (w . difference)^2 / 2. gradient gives _pull and _even over all n rows and pairs."""
     w, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
-    prior = float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
+    prior = float(np.log((toxic + 0.5) / (n - toxic + 0.5)))
     bias, mb, vb = prior, 0.0, 0.0
-    if not n or not 0 < y.sum() < n:
+    if not n or not 0 < toxic < n:
         return w, prior
     for t in range(1, ROUNDS + 1):
-        gb = 0.0
-
-        def error(lo: int, x: np.ndarray) -> np.ndarray:
-            nonlocal gb
-            g = (1 / (1 + np.exp(-(x + bias))) - y[lo : lo + len(x)]) / n  # noqa: B023
-            gb += g.sum()
-            return g
-
-        gw = _products(edges, feature, w, width, error) + RIDGE * w
+        gw, gb, even = gradient(w, bias)
+        gw = gw + RIDGE * w
         if pairs and fair:
-            gw += fair / pairs * _products(pair_edges, pair_feature, w, width, lambda _, x: x, sign)
+            gw += fair / pairs * even
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.05 / (1 - 0.9**t)
@@ -239,18 +257,58 @@ def fit_features(edges: np.ndarray, feature: np.ndarray, y: np.ndarray, width: i
     return w, float(bias)
 
 
+def fit_features(edges: np.ndarray, feature: np.ndarray, y: np.ndarray, width: int, pair_edges: np.ndarray | None = None, pair_feature: np.ndarray | None = None, sign: np.ndarray | None = None, fair: float = FAIR) -> tuple[np.ndarray, float]:
+    """_descend in one process.
+
+    Row i has the features feature[edges[i]:edges[i + 1]]; pairs alike, with the sign of each.
+    """
+    pairs = 0 if pair_edges is None else len(pair_edges) - 1
+
+    def gradient(w: np.ndarray, bias: float) -> tuple[np.ndarray, float, np.ndarray]:
+        return *_pull(edges, feature, y, w, bias, len(y)), _even(pair_edges, pair_feature, sign, w) if pairs and fair else np.zeros(width)
+
+    return _descend(width, len(edges) - 1, y.sum(), pairs, fair, gradient)
+
+
+def fit_packed(rows: DataFrame, width: int, n: int, toxic: int, pairs: int, fair: float) -> tuple[np.ndarray, float]:
+    """_descend over rows as _rows has them, of which tasks return sums only."""
+
+    def gradient(w: np.ndarray, bias: float) -> tuple[np.ndarray, float, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(2 * width + 1)
+            for b in batches:
+                kinds = b.column(0).to_numpy()
+                for kind in np.unique(kinds):
+                    y, edges, f, s = unpacked(b.filter(pa.array(kinds == kind)))
+                    if kind == 0:
+                        gw, gb = _pull(edges, f, y, w, bias, n)
+                        total[:width] += gw
+                        total[-1] += gb
+                    elif fair:
+                        total[width:-1] += _even(edges, f, s, w)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+        # not by lean: so little is held that giving memory back in each round would cost more
+        got = rows.mapInArrow(run, "part binary").collect()  # 2 * FEATURES + 1 numbers a task
+        total = sum((np.frombuffer(r["part"]) for r in got), np.zeros(2 * width + 1))
+        return total[:width], float(total[-1]), total[width:-1]
+
+    return _descend(width, n, toxic, pairs, fair, gradient)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float = FAIR, terms: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
-    """A model from at most `sample` labelled documents outside the held-out quarter. terms: the lexicon, in rows of at least two."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int | None = None, fair: float = FAIR, terms: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
+    """A model from all labelled documents outside the held-out quarter, or at most `sample` of them. terms: the lexicon, in rows of at least two."""
     spark = prepare(docs.sparkSession)
     own = plain(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out())
-    own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    text = plain(docs, "doc_id", "text")
-    # `sample` rows of two numbers at most
-    rows = text.join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max(F.col("toxic").cast("int")).alias("toxic"))
+    own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    if sample is not None:
+        own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    text = plain(docs, "doc_id", "text").where(~held_out())
+    rows = text.join(own, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows = table(rows.select("text", "toxic"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float =
         lookup = model.lookup()
         find = regex.compile(r"\b\L<t>\b", t=[t for row in (*terms, *derived) for t in row])
         for b in batches:
-            y = b.column(1).to_numpy()
+            y = b.column(1).to_numpy() > 0
             for i, part in W.chunked(b.column(0), CHUNK):
                 doc, f = _present(part, lookup)
                 edges = np.searchsorted(doc, np.arange(len(part) + 1)).astype(np.int32)
@@ -296,16 +354,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float =
                     edges = np.searchsorted(which[o], np.arange(len(swaps) + 1)).astype(np.int32)
                     yield _rows(1, np.zeros(len(swaps), np.int64), edges, f[o], sign[o])
 
-    got = rows.mapInArrow(lean(features), "kind int, y int, f array<smallint>, s array<tinyint>").toArrow()
-
-    def part(kind: int):
-        t = got.filter(pc.equal(got["kind"], kind)).combine_chunks()
-        f, s = (t[c].chunk(0) if t[c].num_chunks else pa.array([], t[c].type) for c in ("f", "s"))
-        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(f).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        return edges, f.flatten().to_numpy(), t["y"].to_numpy().astype(float), s.flatten().to_numpy()
-
-    edges, f, y, _ = part(0)
-    pair_edges, pair_feature, _, sign = part(1)
+    packed = rows.mapInArrow(lean(features), PACKED)
+    if size["n"] > LOCAL:
+        packed = table(packed, "features")
+        model.pairs = packed.where("kind = 1").agg(F.coalesce(F.sum(F.octet_length("sizes")), F.lit(0)).alias("b")).first()["b"] // 4
+        model.weights, model.bias = fit_packed(packed, len(best), size["n"], size["n1"], model.pairs, fair)
+        return model
+    got = packed.toArrow()
+    (y, edges, f, _), (_, pair_edges, pair_feature, sign) = (unpacked(got.filter(pc.equal(got["kind"], kind))) for kind in (0, 1))
     model.pairs = len(pair_edges) - 1
     model.weights, model.bias = fit_features(edges, f, y, len(best), pair_edges, pair_feature, sign, fair)
     del got, f, pair_feature, sign
@@ -314,11 +370,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float =
 
 
 def _rows(kind: int, y: np.ndarray, edges: np.ndarray, f: np.ndarray, sign: np.ndarray) -> pa.RecordBatch:
-    arrays = [
-        pa.array(np.full(len(y), kind, np.int32)), pa.array(y.astype(np.int32)),
-        pa.ListArray.from_arrays(pa.array(edges), pa.array(f.astype(np.int16))), pa.ListArray.from_arrays(pa.array(edges), pa.array(sign.astype(np.int8))),
-    ]
-    return pa.RecordBatch.from_arrays(arrays, ["kind", "y", "f", "s"])
+    """Many rows' labels and sizes, and their features with signs, as one row of bytes."""
+    held = (y.astype(np.int8), np.diff(edges).astype(np.int32), f.astype(np.int16), sign.astype(np.int8))
+    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in held]], ["kind", "y", "sizes", "f", "s"])
+
+
+def unpacked(b: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, edges, features and signs of rows that _rows made."""
+    y, size, f, s = (np.frombuffer(b"".join(b.column(i).to_pylist()), t) for i, t in enumerate((np.int8, np.int32, np.int16, np.int8), 1))
+    return y.astype(float), np.concatenate([[0], np.cumsum(size)]).astype(np.int64), f, s
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -40,6 +40,22 @@ def test_toxic_documents_go(spark, small, stages):
     assert set(texts(after)) == want < set(texts(before))
 
 
+def test_toxicity_is_learned_from_all_labelled_rows(spark, tmp_path, monkeypatch):
+    """Of more than 20,000 labelled rows, only those with the largest hashes are toxic."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(toxicity, "ROUNDS", 30)
+    ids = spark.range(28_400).where(~toxicity.held_out("id")).orderBy(F.xxhash64("id"), "id").toArrow()["id"].to_pylist()
+    bad = set(ids[20_000:])
+    assert len(bad) > 500
+    held = set(range(28_400)) - set(ids)
+    texts = [(i, f"filthy wretched vermin {i}" if i in bad or i in held and i % 9 == 0 else f"the river runs past {i}") for i in range(28_400)]
+    spark.createDataFrame([(i, int(i in bad)) for i in ids], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in P.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    assert kept == {i for i, t in texts if "vermin" not in t}
+
+
 def test_one_of_each_group_stays(stages):
     before, after = stages["near_copies"]
     own = texts(before)

@@ -138,6 +138,20 @@ def test_nulls_blanks_ties_and_no_labels(spark, table, corpus):
     assert toxicity.fit(table([]), label_table(spark, labels)).bias < 0.1
 
 
+def test_a_fit_in_tasks_is_the_fit_in_one_process(spark, table, monkeypatch):
+    monkeypatch.setattr(toxicity, "ROUNDS", 20)
+    docs, labels = corpus(300)
+    for fair in (1.0, 0.0):
+        one = toxicity.fit(table(docs), label_table(spark, labels), fair=fair)
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, "LOCAL", 100)
+            m.setattr(toxicity, "WORDS", 10)
+            m.delattr(toxicity, "fit_features")
+            many = toxicity.fit(table(docs, parts=5), label_table(spark, labels[::-1]), fair=fair)
+        assert one.pairs == many.pairs > 0 and (one.buckets == many.buckets).all()
+        assert np.allclose(one.weights, many.weights) and np.isclose(one.bias, many.bias) and np.abs(one.weights).max() > 0.1
+
+
 def test_the_sample_has_its_bound(spark, table):
     docs, labels = corpus(200)
     few = toxicity.fit(table(docs), label_table(spark, labels), sample=50)
