@@ -14,7 +14,8 @@ that no labelled sentence has are made even as well. Model.pairs counts the pair
 
 Fitting: all labelled rows outside the held-out quarter give, in a distributed count over their whole
 texts, the FEATURES grams with the largest chi-square, and then their own sparse
-features and those of SENTENCES sentences a text. Those of LOCAL rows at most come to the driver: LOCAL * (1 + 4 * SENTENCES) rows of
+features and those of SENTENCES sentences a text. Texts that surely have no label aren't shuffled to meet labels, and
+counts of grams travel in compressed strips. Features of LOCAL rows at most come to the driver: LOCAL * (1 + 4 * SENTENCES) rows of
 at most FEATURES small numbers, some 10 MB in practice. Those of more rows are written to the shared folder, and each
 of the ROUNDS steps of the same descent sums its gradient over them in tasks, of which FEATURES numbers each come to the
 driver. Scoring is a narrow pass over the whole texts of all documents.
@@ -46,6 +47,8 @@ CHUNK = 250_000  # bytes of text at once; every byte begins a few grams of 8 byt
 SPACE_SIZE = (1 + len(DENSITY)) << BITS
 TERMS, TERM_LETTERS, ODDS, SENTENCES = 256, 4, 0.7, 2
 WORDS = 200_000  # that a task counts before it passes the counts on
+STRIP = 4096  # features whose counts travel as one row
+MARKS, MOST_MARKS = 16, 1 << 28  # bits for a row of labels, and at most
 THRESHOLD, RIDGE, FAIR, ROUNDS, LEAST = 0.3, 1e-3, 1.0, 200, 6
 PACKED = "kind int, y binary, sizes binary, f binary, s binary"
 #: Terms of one row stand in for each other.
@@ -199,6 +202,44 @@ def _derived(rows: DataFrame, positive: int, total: int) -> tuple[tuple[str, ...
     return tuple(tuple(x) for x in by.values() if len(x) > 1)
 
 
+def _squeezed(n: np.ndarray) -> bytes:
+    """Counts of 4 bytes, lowest bytes first: most are small, so that the others are zeros."""
+    return pa.compress(np.ascontiguousarray(n, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _spread(b: bytes) -> np.ndarray:
+    """The counts of a strip by label that _squeezed made small."""
+    planes = np.frombuffer(pa.decompress(b, 8 * STRIP, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").reshape(2, STRIP)
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    """Of each feature that LEAST texts have, in how many of the rows (text, toxic) of either label it comes: bucket, n0, n1."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, SPACE_SIZE), np.int32)
+        for b in batches:
+            y = b.column(1).to_numpy()
+            for i, part in W.chunked(b.column(0), CHUNK):
+                doc, f = _present(part)
+                hit = y[i : i + len(part)][doc] > 0
+                np.add.at(n[0], f[~hit], 1)
+                np.add.at(n[1], f[hit], 1)
+        at = np.flatnonzero(n.any(axis=0).reshape(-1, STRIP).any(axis=1))
+        for i in range(0, len(at), 256):
+            held = [_squeezed(n[:, k * STRIP : (k + 1) * STRIP]) for k in at[i : i + 256]]
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 256]), pa.array(held, pa.binary())], ["strip", "n"])
+
+    def add(t: pa.Table) -> pa.Table:
+        n = np.zeros((2, STRIP), np.int64)
+        for x in t["n"]:
+            n += _spread(x.as_buffer())
+        at = np.flatnonzero(n.sum(axis=0) >= LEAST)
+        return pa.table({"bucket": pa.array(at + t["strip"][0].as_py() * STRIP, pa.int64()), "n0": n[0, at], "n1": n[1, at]})
+
+    return rows.mapInArrow(lean(count), "strip long, n binary").groupBy("strip").applyInArrow(add, "bucket long, n0 long, n1 long")
+
+
 def _strips(edges: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows that have about `most` entries."""
     lo = 0
@@ -300,39 +341,40 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _likely(text: DataFrame, own: DataFrame) -> DataFrame:
+    """Rows of text whose doc_id own may have: all that it has, and few others.
+
+    own's doc_ids are bits of a broadcast bitmap, so that a join with own needn't shuffle texts that it drops. Beyond
+    MOST_MARKS bits the bitmap grows no more and more rows get through.
+    """
+    if text.schema["doc_id"].dataType != own.schema["doc_id"].dataType:
+        return text  # the join casts, and a hash goes by type
+    bits = min(max(own.count(), 1) * MARKS, MOST_MARKS)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    run, bit = F.shiftright(place, 15), place % (1 << 15)  # bitmap_construct_agg makes 2**15 bits
+    marks = own.groupBy(run.alias("_run")).agg(F.bitmap_construct_agg(bit).alias("_marks"))
+    byte = F.conv(F.hex(F.substring("_marks", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return text.join(F.broadcast(marks), (run == F.col("_run")) & (F.getbit(byte, bit % 8) == 1), "left_semi")
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int | None = None, fair: float = FAIR, terms: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
     """A model from all labelled documents outside the held-out quarter, or at most `sample` of them. terms: the lexicon, in rows of at least two."""
     spark = prepare(docs.sparkSession)
     own = plain(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out())
+    text = _likely(plain(docs, "doc_id", "text").where(~held_out()), own)
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if sample is not None:
         own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    text = plain(docs, "doc_id", "text").where(~held_out())
     rows = text.join(own, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows = table(rows.select("text", "toxic"), "labelled")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, SPACE_SIZE), np.int32)
-        for b in batches:
-            y = b.column(1).to_numpy()
-            for i, part in W.chunked(b.column(0), CHUNK):
-                doc, f = _present(part)
-                hit = y[i : i + len(part)][doc] > 0
-                np.add.at(n[0], f[~hit], 1)
-                np.add.at(n[1], f[hit], 1)
-        at = np.flatnonzero((n[0] > 0) | (n[1] > 0))
-        for i in range(0, len(at), 50_000):
-            a = at[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n[0, a].astype(np.int64)), pa.array(n[1, a].astype(np.int64))], ["bucket", "n0", "n1"])
-
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("toxic") > 0, 1)), F.lit(0)).alias("n1")).first()
     if not size["n1"] or size["n1"] == size["n"]:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((size["n1"] + 0.5) / (size["n"] - size["n1"] + 0.5))))
     q = size["n1"] / size["n"]
     m = F.col("n0") + F.col("n1")
     chi = F.pow(F.col("n1") - m * q, F.lit(2)) / (m * q * (1 - q) * (1 - m / F.lit(float(size["n"]) + 1)))
-    totals = rows.mapInArrow(lean(count), "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    best = totals.where(m >= LEAST).orderBy(chi.desc(), "bucket").limit(FEATURES).select("bucket").collect()
+    best = _totals(rows).orderBy(chi.desc(), "bucket").limit(FEATURES).select("bucket").collect()
     model = Model(np.array([r["bucket"] for r in best], np.int64), np.zeros(len(best)), 0.0)
     derived = _derived(rows, size["n1"], size["n"])
 

@@ -107,6 +107,52 @@ def test_features_and_scores_against_plain_loops(spark, small):
     assert np.allclose(model.scores(pa.array(texts, pa.string()), model.lookup()), plain)
 
 
+def test_counts_by_strips_are_those_of_plain_loops(spark):
+    docs, labels = corpus(40)
+    rows = spark.createDataFrame([(x, y) for (_, x), (_, y) in zip(docs, labels, strict=True)] + [(None, 0), ("", 1)], "text string, toxic int").repartition(3)
+    want = {}
+    for r in rows.collect():
+        for f in _plain_features(r["text"]):
+            want.setdefault(f, [0, 0])[r["toxic"]] += 1
+    got = {r["bucket"]: [r["n0"], r["n1"]] for r in toxicity._totals(rows).collect()}
+    assert got == {f: n for f, n in want.items() if sum(n) >= toxicity.LEAST} and len(got) > 100
+    n = np.random.default_rng(3).integers(0, 2**31, (2, toxicity.STRIP)).astype(np.int32)
+    assert (toxicity._spread(toxicity._squeezed(n)) == n).all()
+
+
+def test_labelled_rows_get_through_the_bitmap(spark, monkeypatch):
+    ids = [(i * 7919, "x") for i in range(-2000, 2000)] + [(None, "x"), (7919, "y")]
+    text, own = spark.createDataFrame(ids, "doc_id long, text string"), spark.createDataFrame([(i * 7919,) for i in range(-300, 300)] * 2, "doc_id long")
+    labelled = text.join(own.distinct(), "doc_id", "left_semi")
+    for most in (1 << 28, 100, 1):
+        monkeypatch.setattr(toxicity, "MOST_MARKS", most)
+        got = toxicity._likely(text, own)
+        assert got.columns == text.columns and labelled.exceptAll(got).count() == 0 and labelled.count() == 601
+        assert most < 1 << 28 or got.count() < 1000
+    assert toxicity._likely(text, own.selectExpr("cast(doc_id as string)")).count() == len(ids)
+    assert toxicity._likely(text, own.limit(0)).count() == 0
+
+
+def test_texts_without_a_label_and_single_counts_are_not_shuffled(spark, table):
+    rng = random.Random(4)
+    docs = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJ      ", k=10_000)) + (" vermin." if i % 40 else " garden.")) for i in range(400)]
+    labels = label_table(spark, [(i, int(i % 40 > 0)) for i in range(0, 400, 20)])
+    store = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        store.listenerBus().waitUntilEmpty()
+        return store.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    whole, labels, kept = table(docs, clash=False).localCheckpoint(), labels.localCheckpoint(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        toxicity.fit(whole, labels)
+        assert 0 < shuffled() - before < 2_000_000  # of 4,000,000 bytes of text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_penalty_shrinks_the_change():
     edges, feature, y = np.array([0, 2, 3, 5, 6]), np.array([0, 1, 2, 0, 1, 2]), np.array([1.0, 0, 1, 0])
     pairs = np.array([0, 2]), np.array([1, 2]), np.array([1.0, -1.0])
