@@ -10,6 +10,10 @@ shared folder, which cuts its lineage. Edges that repeat count once.
 from __future__ import annotations
 
 import heapq
+import os
+import tempfile
+import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators.graph import Graph
-from strata.sources.lineage import settled
+from strata.sources.lineage import settled, shared
 
 LOCAL = 1_000_000
+#: Edges that come to the driver at once beyond LOCAL, and rows that it sends.
+STRIP = 1_000_000
 
 
 def weight(name: str):
@@ -105,41 +111,91 @@ def bfs(graph: Graph, start: str, type: str, local: int = LOCAL) -> DataFrame:
     return seen
 
 
-def dfs(graph: Graph, start: str, type: str, local: int = LOCAL) -> Iterator[tuple[str, int]]:
-    """(id, visit order) in pre-order, children by id; lazily, as order is sequential by nature.
-
-    Beyond `local` edges each step asks for one node's edges, so a caller may stop early at any size.
+def _preorder(first: np.ndarray, target: np.ndarray, start: int) -> array:
+    """Indices in the order of a depth-first visit; those that v leads to are target[first[v]:first[v + 1]], ascending."""
+    to, end, at = memoryview(target), memoryview(first), memoryview(first.copy())
+    seen, order, stack = bytearray(len(first)), array("q", [start]), array("q", [start])
+    seen[start] = 1
+    while stack:
+        v = stack[-1]
+        for e in range(at[v], end[v + 1]):
+            w = to[e]
+            if not seen[w]:
+                seen[w], at[v] = 1, e + 1
+                order.append(w)
+                stack.append(w)
+                break
+        else:
+            stack.pop()
+    return order
+
+
+def _numbered(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(id, n): ids by their place in ascending order, from 0; and how many there are."""
+    ids = settled(nodes.select("id").where("id is not null").distinct().orderBy("id").withColumn("_m", F.monotonically_increasing_id()), "nodes")
+    part = F.shiftrightunsigned("_m", 33)
+    sizes = ids.groupBy(part.alias("_part")).agg(F.count("*").alias("size")).orderBy("_part").collect()  # a row for each task that sorted
+    before = np.cumsum([0, *(r["size"] for r in sizes)]).tolist()
+    firsts = nodes.sparkSession.createDataFrame([(r["_part"], b) for r, b in zip(sizes, before, strict=False)], "_part long, _first long")
+    return ids.join(F.broadcast(firsts), part == F.col("_part")).select("id", (F.col("_first") + F.col("_m").bitwiseAND((1 << 33) - 1)).alias("n")), before[-1]
+
+
+def _rows_on_disk(edges: DataFrame, n: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """first and target of _preorder for edges (s, t) of numbers below n; targets are a file in folder, and come STRIP at once."""
+    edges = settled(edges, "edges")
+    total = edges.count()
+    strips = -(-total // STRIP) or 1
+    edges = settled(edges.repartitionByRange(strips, "s", "t").withColumn("_strip", F.spark_partition_id()), "strips", "_strip")
+    kind = np.int32 if n < 2**31 else np.int64
+    first = np.zeros(n + 1, np.int64)
+    target = np.memmap(os.path.join(folder, "targets"), kind, "w+", shape=(max(1, total),))
+    at = 0
+    for i in range(strips):
+        t = edges.where(F.col("_strip") == i).select("s", "t").toArrow()
+        s, to = t["s"].to_numpy(), t["t"].to_numpy()
+        order = np.lexsort((to, s))
+        target[at : at + len(order)] = to[order]
+        at += len(order)
+        if len(s):
+            low = int(s.min())
+            got = np.bincount(s - low)
+            first[low + 1 : low + 1 + len(got)] += got
+    return np.cumsum(first), target
+
+
+def dfs_table(graph: Graph, start: str, type: str, local: int = LOCAL) -> DataFrame:
+    """(id, visit order) in pre-order, children by id; empty where start isn't a node.
+
+    The order is sequential by nature, so one walk on the driver makes it. Beyond `local` edges nodes are numbered by id
+    in the shared folder and the walk has numbers alone: 33 bytes a node, and edges in a file of the driver.
     """
+    spark, out = graph.spark, "id string, visit_order int"
+    if graph.node(start) is None:
+        return spark.createDataFrame([], out)
     small = _small(_expandable(graph, type), local)
     if small:
+        s = small.number(start)
+        if s is None:
+            return spark.createDataFrame([(start, 0)], out)
         order, first = small.rows()
-        target = small.target[order]
+        at = np.array(_preorder(first, small.target[order], s))
+        return spark.createDataFrame(pa.table({"id": pa.array(small.names[at].tolist(), pa.string()), "visit_order": pa.array(np.arange(len(at)), pa.int32())}))
+    ids, n = _numbered(graph.nodes)
+    ends = _typed(graph, type).join(ids.select(F.col("id").alias("source_id"), F.col("n").alias("s")), "source_id").join(ids.select(F.col("id").alias("target_id"), F.col("n").alias("t")), "target_id")
+    visits = f"{shared(spark).rstrip('/')}/strata-visits-{uuid.uuid4().hex}"
+    with tempfile.TemporaryDirectory() as folder:
+        first, target = _rows_on_disk(ends.select("s", "t").distinct(), n, folder)
+        order = _preorder(first, target, ids.where(F.col("id") == start).first()["n"])
+        for i in range(0, len(order), STRIP):
+            part = np.array(order[i : i + STRIP])
+            spark.createDataFrame(pa.table({"n": part, "visit_order": pa.array(np.arange(i, i + len(part)), pa.int32())})).write.mode("append").parquet(visits)
+    return spark.read.schema("n long, visit_order int").parquet(visits).join(ids, "n").select("id", "visit_order")
 
-        def children(v: str) -> list[str]:
-            i = small.number(v)
-            return [] if i is None else small.names[target[first[i] : first[i + 1]]].tolist()
-    else:
-
-        def children(v: str) -> list[str]:
-            to = graph.out_ids(v, type).distinct().withColumnRenamed("target_id", "id")
-            return [r["id"] for r in graph.nodes.join(to, "id", "left_semi").select("id").orderBy("id").toLocalIterator()]
-
-    if graph.node(start) is None:
-        return
-    seen, stack, n = set(), [start], 0
-    while stack:
-        v = stack.pop()
-        if v in seen:
-            continue
-        seen.add(v)
-        yield v, n
-        n += 1
-        stack += [c for c in reversed(children(v)) if c not in seen]
 
-
-def dfs_table(graph: Graph, start: str, type: str) -> DataFrame:
-    """(id, visit_order) of :func:`dfs`."""
-    return graph.spark.createDataFrame(list(dfs(graph, start, type)), "id string, visit_order int")
+def dfs(graph: Graph, start: str, type: str, local: int = LOCAL) -> Iterator[tuple[str, int]]:
+    """The rows of :func:`dfs_table` in order, by one part at a time."""
+    for r in dfs_table(graph, start, type, local).orderBy("visit_order").toLocalIterator():
+        yield r["id"], r["visit_order"]
 
 
 def _weighted(graph: Graph, type: str, weight_name: str) -> DataFrame:

@@ -38,8 +38,8 @@ def shared(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
-def settled(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, and a lost executor costs none of it."""
+def settled(df: DataFrame, name: str = "step", *by: str) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends there, and a lost executor costs none of it. by: columns that have a folder for each value."""
     path = f"{shared(df.sparkSession).rstrip('/')}/strata-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -145,6 +145,32 @@ def test_both_ways_agree_on_random_graphs(store):
     assert rows(A.distances(g, "n1", "E")) == rows(A.distances(g, "n1", "E", local=-1))
 
 
+def test_depth_first_beyond_local_asks_no_node_at_a_time(store, monkeypatch):
+    monkeypatch.setattr(A, "STRIP", 40)
+    rng = random.Random(8)
+    names = [f"n{i}" for i in range(60)]
+    nodes(store, *names)
+    edges(store, "E", *sorted({(rng.choice(names), rng.choice([*names, "ghost"])) for _ in range(150)}), *[("n7", f"n{i}") for i in range(0, 60, 2)])
+    g = store.graph()
+    to, order, left = {}, [], ["n7"]
+    for s, t in g.edges.select("source_id", "target_id").collect():
+        to.setdefault(s, set()).add(t)
+    while left:
+        v = left.pop()
+        if v in names and v not in order:
+            order.append(v)
+            left += sorted(to.get(v, ()), reverse=True)
+
+    def ask(*a):
+        raise AssertionError("a job for each node")
+
+    monkeypatch.setattr(type(g), "out_ids", ask)
+    assert len(order) > 40
+    for local in (A.LOCAL, -1):
+        assert list(A.dfs(g, "n7", "E", local)) == [(v, i) for i, v in enumerate(order)]
+    assert A.dfs_table(g, "ghost", "E", -1).count() == 0
+
+
 @pytest.mark.parametrize("local", [A.LOCAL, -1])
 def test_page_rank(store, spark, local):
     edges(store, "L", ("A", "B"), ("B", "A"))
