@@ -155,6 +155,14 @@ def test_scores_of_a_batch_are_bounded():
         tracemalloc.stop()
 
 
+@pytest.mark.parametrize("group", [1 << 20, 1000])
+def test_many_queries_in_all_cells_are_no_join(many, monkeypatch, group):
+    _, v, queries, want = many
+    monkeypatch.setattr(O, "GROUP", group)
+    found = O.CellIndex.build(v, cells=6).top_k(queries, 4, nprobe=6)
+    assert answers(found) == want and "Join" not in plan(found)
+
+
 def test_few_probes_are_enough_for_groups(spark, db):
     gen = np.random.default_rng(1)
     x = np.repeat(gen.standard_normal((20, 16)), 50, axis=0) + 0.05 * gen.standard_normal((1000, 16))
