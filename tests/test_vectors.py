@@ -163,6 +163,20 @@ def test_many_queries_in_all_cells_are_no_join(many, monkeypatch, group):
     assert answers(found) == want and "Join" not in plan(found)
 
 
+@pytest.mark.parametrize("group", [1 << 20, 1000])
+def test_many_queries_in_few_cells_are_no_join(many, monkeypatch, group):
+    x, v, queries, _ = many
+    monkeypatch.setattr(O, "GROUP", group)
+    index = O.CellIndex.build(v, cells=6)
+    found = index.top_k(queries, 4, nprobe=2)
+    cell = {r["id"]: r["cell"] for r in index.table.collect()}
+    want = {}
+    for r in queries.collect():
+        near = set(index.probes(r["embedding"], 2))
+        want[r["query_id"]] = [n for n, _ in brute({str(j): y.tolist() for j, y in enumerate(x) if cell[str(j)] in near}, r["embedding"], 4)]
+    assert answers(found) == want and "Join" not in plan(found)
+
+
 def test_few_probes_are_enough_for_groups(spark, db):
     gen = np.random.default_rng(1)
     x = np.repeat(gen.standard_normal((20, 16)), 50, axis=0) + 0.05 * gen.standard_normal((1000, 16))
