@@ -171,6 +171,14 @@ def test_depth_first_beyond_local_asks_no_node_at_a_time(store, monkeypatch):
     assert A.dfs_table(g, "ghost", "E", -1).count() == 0
 
 
+def test_depth_first_set_beyond_local(spark, small, monkeypatch):
+    from strata import catalog
+
+    monkeypatch.setattr(A, "STRIP", 400)
+    g = catalog.follows(spark, small)
+    assert ids(A.dfs_table(g, "u0", "FOLLOWS", local=-1).select("id")) == ids(A.bfs(g, "u0", "FOLLOWS").select("id"))
+
+
 @pytest.mark.parametrize("local", [A.LOCAL, -1])
 def test_page_rank(store, spark, local):
     edges(store, "L", ("A", "B"), ("B", "A"))
